@@ -1,8 +1,8 @@
 """Queries and SQL of this subpackage, gathered for the driver's contract."""
 
-from lamina.llm import lines, mixing, packing, quality, simhash
+from lamina.llm import lines, mixing, packing, quality, simhash, tokencount
 
-MODULES = (simhash, lines, mixing, packing, quality)
+MODULES = (tokencount, simhash, lines, mixing, packing, quality)
 
 
 def queries() -> dict:
