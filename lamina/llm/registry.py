@@ -1,8 +1,8 @@
 """Queries and SQL of this subpackage, gathered for the driver's contract."""
 
-from lamina.llm import lines, mixing, packing, quality, sharding, simhash, tokencount
+from lamina.llm import lines, media, mixing, packing, quality, sharding, simhash, tokencount
 
-MODULES = (sharding, tokencount, simhash, lines, mixing, packing, quality)
+MODULES = (sharding, tokencount, media, simhash, lines, media, mixing, packing, quality)
 
 
 def queries() -> dict:
