@@ -1,8 +1,8 @@
 """Queries and SQL of this subpackage, gathered for the driver's contract."""
 
-from lamina.llm import lines, lm, media, mixing, packing, quality, sharding, simhash, tokencount
+from lamina.llm import lines, lm, media, mixing, packing, pii, quality, sharding, simhash, tokencount
 
-MODULES = (sharding, tokencount, lm, media, simhash, lines, lm, media, mixing, packing, quality)
+MODULES = (sharding, tokencount, lm, pii, media, simhash, lines, lm, media, mixing, packing, pii, quality)
 
 
 def queries() -> dict:
