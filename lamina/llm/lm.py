@@ -54,6 +54,17 @@ class Model:
     def tables(self) -> list[np.ndarray]:
         return [self.cw, self.ww, self.wb]
 
+    def state(self) -> dict:
+        """Plain arrays, which travel to workers that don't have this package."""
+        return dict(self.__dict__)
+
+    @classmethod
+    def of(cls, state: dict) -> Model:
+        """Model of a state, with weights of its own."""
+        model = cls.__new__(cls)
+        model.__dict__ |= {k: [x.copy() for x in v] if k == "squares" else v.copy() if k in ("cw", "ww", "wb") else v for k, v in state.items()}
+        return model
+
     def ids(self, h: np.ndarray) -> np.ndarray:
         """Class x SLOTS + slot of each word."""
         other = (CLASSES - 1) * SLOTS + (h >> np.uint64(40)).astype(np.int32) % SLOTS
@@ -141,13 +152,10 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     sizes = [len(t) for t in model.tables()]
     firsts = np.cumsum([0] + [-(-n // BLOCK) for n in sizes])
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast(model.state())
 
         def learn(batches, r=r, shared=shared):
-            m = shared.value
-            for name in ("cw", "ww", "wb"):
-                setattr(m, name, getattr(m, name).copy())
-            m.squares = [s.copy() for s in m.squares]
+            m = Model.of(shared.value)
             used = [np.zeros(n, np.float32) for n in sizes]
             turn = TaskContext.get().partitionId()
             for b in batches:
@@ -197,10 +205,10 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, logprob, bits_per_token) of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.state())
 
     def run(batches):
-        m = shared.value
+        m = Model.of(shared.value)
         for b in batches:
             for start, length in slices(b.column(1), SLICE):
                 part = b.slice(start, length)

@@ -2,7 +2,7 @@
 
 from lamina.llm import lines, lm, media, mixing, packing, pii, quality, sharding, simhash, tokencount
 
-MODULES = (sharding, tokencount, lm, pii, media, simhash, lines, lm, media, mixing, packing, pii, quality)
+MODULES = (sharding, tokencount, lm, pii, media, simhash, lines, mixing, packing, quality)
 
 
 def queries() -> dict:
