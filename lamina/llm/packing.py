@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.llm.mixing import slices
 from lamina.llm.textnp import utf8
 from lamina.runtime import cut, table
 
@@ -32,6 +33,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Least id stands for null: order is the same, and arrays of ids stay plain.
 BATCH_ROWS = 64
+#: Bytes of text that numpy works on at a time.
+SLICE = 1 << 20
 
 
 def count_tokens(column) -> np.ndarray:
@@ -50,7 +53,8 @@ def count_tokens(column) -> np.ndarray:
 def counted(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(count_tokens(b.column(1)))], ["doc_id", "n"])
+            n = [count_tokens(b.column(1).slice(start, length)) for start, length in slices(b.column(1), SLICE)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], ["doc_id", "n"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long")
 
