@@ -9,6 +9,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Rows of a short table up to which it is sent to every executor; beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A table of so many short rows, with a broadcast hint only where they are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
