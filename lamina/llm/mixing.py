@@ -19,6 +19,8 @@ labels count as often as they occur; without labels of any domain all posteriors
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -177,10 +179,12 @@ def mixed(docs: DataFrame, labels: DataFrame, targets=TARGETS, max_labelled: int
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets=TARGETS, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """Documents as often as their rates ask for, with their own columns."""
-    copies = mixed(docs, labels, targets, max_labelled).groupBy(F.col("key").alias("_mix_key")).agg(F.first("copies").alias("_mix_copies")).where("_mix_copies > 0")
-    keyed = docs.withColumn("_mix_k", F.xxhash64("doc_id", F.col("text").cast("string")))
-    joined = keyed.join(copies, F.col("_mix_k") == F.col("_mix_key"))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("_mix_i")).drop("_mix_i")
+    mark = uuid.uuid4().hex[:8]  # columns of the documents may have any name
+    mine, key, n, i = (f"_{x}{mark}" for x in ("mine", "key", "n", "i"))
+    copies = mixed(docs, labels, targets, max_labelled).groupBy(F.col("key").alias(key)).agg(F.first("copies").alias(n)).where(F.col(n) > 0)
+    keyed = docs.withColumn(mine, F.xxhash64("doc_id", F.col("text").cast("string")))
+    joined = keyed.join(copies, F.col(mine) == F.col(key))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(n))).alias(i)).drop(i)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
