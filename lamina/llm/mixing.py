@@ -170,8 +170,9 @@ def solve(members: DataFrame, targets=TARGETS, iterations: int = ITERATIONS):
 
 def mixed(docs: DataFrame, labels: DataFrame, targets=TARGETS, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, key, n, p0, ..., rate, copies) of every document."""
-    members = cut(memberships(docs, *classifier(docs, labels, max_labelled)))
-    rate, _, _ = solve(members, targets)
+    weights, bias = classifier(docs, labels, max_labelled)
+    members = cut(memberships(docs, weights, bias))
+    rate = solve(members, targets)[0] if weights.any() else F.lit(1.0)
     out = members.withColumn("rate", rate)
     draw = (F.pmod(F.xxhash64(F.lit(11), F.col("key")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     return out.withColumn("copies", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
