@@ -137,7 +137,7 @@ def parse(text: str, params: dict[str, str] | None = None) -> list[Step]:
             steps.append(Step("SQL", sql=_unescape(m[1]).strip()))
         elif m := re.fullmatch(r"SQL\s+(.+)", line, re.S | re.I):
             steps.append(Step("SQL", sql=m[1].strip()))
-        elif m := re.fullmatch(r"([A-Z][A-Z0-9_]*)(?:\s+(.*))?", line, re.S):
+        elif m := re.fullmatch(r"(?!(?:FROM|SQL)\b)([A-Z][A-Z0-9_]*)(?:\s+(.*))?", line, re.S):
             steps.append(Step("CUSTOM", m[1], args=(m[2] or "").split()))
         else:
             raise BuildError(f"can't read {line[:80]!r}")

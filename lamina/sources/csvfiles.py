@@ -34,7 +34,7 @@ def sniff(path: str, spark: SparkSession | None = None) -> dict:
         try:
             raw[: max(0, len(raw) - 4)].decode("utf-8")
         except UnicodeDecodeError:
-            encoding = "latin-1"
+            encoding = "iso-8859-1"
     text = raw.decode(encoding, "replace").lstrip("\ufeff")
     newline = "\r\n" if "\r\n" in text else "\r" if "\r" in text and "\n" not in text else "\n"
     body = text.replace("\r\n", "\n").replace("\r", "\n")
