@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import gzip
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +23,13 @@ def sniff(path: str, spark: SparkSession | None = None) -> dict:
     if "://" in path and not path.startswith("file:"):
         raw = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD)).first()[0])
     else:
-        with open(local_path(path), "rb") as f:
+        file = local_path(path)
+        if os.path.isdir(file):
+            file = min(os.path.join(file, n) for n in os.listdir(file) if n[0] not in "._")
+        with open(file, "rb") as f:
             raw = f.read(HEAD)
     if raw[:2] == b"\x1f\x8b":
-        with gzip.open(local_path(path)) as f:
+        with gzip.open(file) as f:
             raw = f.read(HEAD)
     encoding = "utf-8"
     if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
