@@ -14,7 +14,8 @@ remaining probability, drawn from a hash of its id and text: the same rows give
 Only the classifier sees a sample: at most ``MAX_LABELLED`` labelled documents, chosen by hash of their id (parameter).
 Defined results: null and empty texts have no tokens, get the prior as posterior and rate 1 (they don't touch the sums);
 null ids and repeated rows are documents like others; labels with nulls or without a document are ignored, repeated
-labels count as often as they occur; without labels of any domain all posteriors are the prior, and rates are 1.
+labels count as often as they occur; a domain without labels has no target, and the others' are scaled up; where no
+feature tells labelled domains apart, all posteriors are the prior, and rates are 1.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ TARGETS = (0.96, 0.03, 0.01)
 MAX_LABELLED = 8000
 BITS = 17
 ITERATIONS = 16
+#: Likelihood-ratio statistic (G) against the domains that a feature needs: with it words that mark a domain aren't
+#: outvoted by hundreds of ordinary ones in a long document.
+LEAST_G = 16.0
 #: Bytes of text that numpy works on at a time.
 SLICE = 2 << 20
 
@@ -74,11 +78,27 @@ def posterior(weights: np.ndarray, bias: np.ndarray, ids: np.ndarray, offsets: n
     return p / p.sum(1, keepdims=True)
 
 
-def fit(rows: list[tuple[np.ndarray, int]], k: int, bits: int = BITS, epochs: int = 12, rate: float = 0.15, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias of the softmax classifier by AdaGrad over minibatches."""
+def marks(rows: list[tuple[np.ndarray, int]], k: int, bits: int = BITS) -> np.ndarray:
+    """G statistic of each feature's presence against the domains."""
+    seen, size = np.zeros((k, 1 << bits)), np.zeros(k)
+    for x, y in rows:
+        seen[y][x] += 1
+        size[y] += 1
+    every, n = seen.sum(0), max(1.0, size.sum())
+    g = np.zeros(1 << bits)
+    for y in range(k):
+        for o, e in ((seen[y], every * size[y] / n), (size[y] - seen[y], (n - every) * size[y] / n)):
+            g += 2 * np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0)
+    return g
+
+
+def fit(rows: list[tuple[np.ndarray, int]], k: int, bits: int = BITS, epochs: int = 12, rate: float = 0.15, decay: float = 1e-4, seed: int = 7, least_g: float = LEAST_G) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of the softmax classifier by AdaGrad over minibatches; features below ``least_g`` have no weight."""
     weights, bias = np.zeros((1 << bits, k)), np.zeros(k)
     if not rows:
         return weights.astype(np.float32), bias
+    good = marks(rows, k, bits) >= least_g
+    rows = [(x[good[x]], y) for x, y in rows]
     counts = np.bincount([y for _, y in rows], minlength=k) + 0.5
     bias = np.log(counts / counts.sum())
     squares, rng = np.full_like(weights, 1e-2), np.random.default_rng(seed)
@@ -91,15 +111,18 @@ def fit(rows: list[tuple[np.ndarray, int]], k: int, bits: int = BITS, epochs: in
             offsets = np.concatenate([[0], np.cumsum(sizes)])
             g = posterior(weights, bias, ids, offsets)
             g[np.arange(len(part)), [y for _, y in part]] -= 1
+            if not len(ids):
+                continue
             each = np.repeat(g, sizes, axis=0)
             uniq, where = np.unique(ids, return_inverse=True)
             grad = np.stack([np.bincount(where, each[:, j], len(uniq)) for j in range(k)], 1) + decay * weights[uniq]
             squares[uniq] += grad**2
             weights[uniq] -= rate * grad / np.sqrt(squares[uniq])
-    return weights.astype(np.float32), bias
+    return np.where(good[:, None], weights, 0).astype(np.float32), bias
 
 
-def classifier(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
+def classifier(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, bias, and which domains any labelled document has."""
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 0)
     chosen = labels.select(F.col("doc_id").alias("_id"), domain.alias("_y")).where("_id IS NOT NULL AND _y IS NOT NULL")
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_labelled)
@@ -113,7 +136,8 @@ def classifier(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), pa.array([ids[a:z].tobytes() for a, z in zip(offsets, offsets[1:])], pa.binary())], ["y", "f"])
 
     rows = sorted((bytes(r["f"]), r["y"]) for r in found.mapInArrow(run, "y int, f binary").collect())
-    return fit([(np.frombuffer(f, np.int32), y) for f, y in rows], len(DOMAINS))
+    known = np.isin(np.arange(len(DOMAINS)), [y for _, y in rows])
+    return *fit([(np.frombuffer(f, np.int32), y) for f, y in rows], len(DOMAINS)), known
 
 
 def memberships(docs: DataFrame, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
@@ -170,9 +194,10 @@ def solve(members: DataFrame, targets=TARGETS, iterations: int = ITERATIONS):
 
 def mixed(docs: DataFrame, labels: DataFrame, targets=TARGETS, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, key, n, p0, ..., rate, copies) of every document."""
-    weights, bias = classifier(docs, labels, max_labelled)
+    weights, bias, known = classifier(docs, labels, max_labelled)
     members = cut(memberships(docs, weights, bias))
-    rate = solve(members, targets)[0] if weights.any() else F.lit(1.0)
+    targets = np.where(known, targets, 0) / max(1e-12, np.where(known, targets, 0).sum())
+    rate = solve(members, targets)[0] if weights.any() else F.lit(1.0)  # equal posteriors tell nothing apart
     out = members.withColumn("rate", rate)
     draw = (F.pmod(F.xxhash64(F.lit(11), F.col("key")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     return out.withColumn("copies", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))

@@ -24,11 +24,11 @@ def labelled(spark, n=240):
 
 def test_mixing_meets_targets_and_brute_force(spark):
     docs, labels, truth = labelled(spark)
-    rows = mixing.mixed(docs, labels.where("doc_id % 2 = 0"), (0.8, 0.15, 0.05)).collect()
+    rows = mixing.mixed(docs, labels.where("doc_id div 10 % 2 = 0"), (0.8, 0.15, 0.05)).collect()
     p, n, rate = np.array([[x.p0, x.p1, x.p2] for x in rows]), np.array([x.n for x in rows], float), np.array([x.rate for x in rows])
     share = (rate * n) @ p
     assert np.abs(share / share.sum() - [0.8, 0.15, 0.05]).max() < 0.01 and rate.min() >= 0
-    held = [x for x in rows if x.doc_id % 2]
+    held = [x for x in rows if x.doc_id // 10 % 2]
     right = sum(int(np.argmax([x.p0, x.p1, x.p2])) == (2 if truth[x.doc_id][2] else 0 if truth[x.doc_id][1] else 1) for x in held)
     assert right >= 0.9 * len(held)
     have = n @ p / n.sum()
