@@ -11,7 +11,6 @@ appear in no window. The last window may be short. Columns besides doc_id and te
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -27,6 +26,8 @@ from lamina.runtime import cut, table
 WINDOW = 2048
 #: Tokens that a partition of the second pass is meant to hold.
 PER_PARTITION = 4_000_000
+#: Partitions at most (beyond it each sorts more, by spilling), and ranges by which each is balanced.
+MOST_PARTITIONS, FINE = 16_384, 4
 SCHEMA = "window_id long, n_tokens int, doc_ids array<long>, starts array<int>, text string"
 ARROW = pa.schema([("window_id", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("text", pa.string())])
 SPACE = np.zeros(256, bool)
@@ -118,16 +119,27 @@ def pack(docs: DataFrame, window: int = WINDOW, per_partition: int = PER_PARTITI
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = cut(counted(docs))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    n = max(1, math.ceil(total / per_partition))
-    bounds = np.array(sorted({int(x) for x in counts.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (10 * n))}) if n > 1 else [], np.int64)
-
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), side="left")))
-
-    sums = {r["b"]: r["n"] for r in counts.groupBy(place("doc_id").alias("b")).agg(F.sum("n").alias("n")).collect()}
-    prefix = np.array([0, *itertools.accumulate(sums.get(i, 0) for i in range(len(bounds) + 1))], np.int64)
-    ordered = docs.select(place("doc_id").alias("bucket"), "doc_id", "text").repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "doc_id", "text")
+    n = min(MOST_PARTITIONS, max(1, math.ceil(total / per_partition)))
+    fine = np.array(sorted({int(x) for x in counts.stat.approxQuantile("doc_id", [i / (FINE * n) for i in range(1, FINE * n)], 1 / (2 * FINE * n))}) if n > 1 else [], np.int64)
+
+    def place(bounds: np.ndarray, name: str):
+        @F.pandas_udf("int")
+        def at(ids: pd.Series) -> pd.Series:
+            return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), side="left")))
+
+        return at(name)
+
+    sums = {r["b"]: r["n"] for r in counts.groupBy(place(fine, "doc_id").alias("b")).agg(F.sum("n").alias("n")).collect()}
+    # ranges of ids with about equal tokens
+    bounds, prefix, held = [], [0], 0
+    for i in range(len(fine) + 1):
+        held += sums.get(i, 0)
+        if i < len(fine) and held >= total / n:
+            bounds.append(fine[i])
+            prefix.append(prefix[-1] + held)
+            held = 0
+    prefix, bounds = np.array([*prefix, prefix[-1] + held], np.int64), np.array(bounds, np.int64)
+    ordered = docs.select(place(bounds, "doc_id").alias("bucket"), "doc_id", "text").repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "text")
     whole = ordered.mapInArrow(cutter(prefix, window, False), SCHEMA)
     pieces = ordered.mapInArrow(cutter(prefix, window, True), SCHEMA)
     joined = pieces.groupBy("window_id").agg(F.sort_array(F.collect_list(F.struct(F.element_at("starts", 1).alias("s"), "n_tokens", "doc_ids", "starts", "text"))).alias("p"))
