@@ -389,12 +389,12 @@ def dml_script(spark, sf_dir):
     return repo.table("latest", "g").read()
 
 
-@query("""SELECT id, round(score, 6) AS score, CAST(sum(size) OVER (ORDER BY orphan DESC, score, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS freed FROM (
+@query("""SELECT id, round(score, 1) AS score, CAST(sum(size) OVER (ORDER BY orphan DESC, score, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS freed FROM (
 SELECT id, size, orphan, exp(-0.00000802 * idle) * greatest(size, 10485760) AS score FROM (
 SELECT CAST(p_partkey AS VARCHAR) AS id, p_partkey * 100003 AS size, CAST(p_size * 3600.0 AS DOUBLE) AS idle, p_partkey % 17 = 0 AS orphan FROM part) a) b""")
 def eviction(spark, sf_dir):
     objects = table(spark, sf_dir, "part").selectExpr("cast(p_partkey AS string) AS id", "p_partkey * 100003 AS size", "cast(p_size * 3600 AS double) AS idle", "p_partkey % 17 = 0 AS orphan")
-    return eviction_order(objects).select("id", F.round("score", 6).alias("score"), "freed")
+    return eviction_order(objects).select("id", F.round("score", 1).alias("score"), "freed")
 
 
 @query()
