@@ -33,7 +33,7 @@ LABELS, EMBED, HIDDEN = len(KINDS) + 1, 8, 12
 WINDOW, MARGIN, SLICE = 1024, 96, 1 << 20
 SYMBOLS = 131
 #: Size of the training set, its window, steps and batch.
-EXAMPLES, LENGTH, STEPS, GROUP = 12000, 112, 640, 96
+EXAMPLES, LENGTH, STEPS, GROUP = 12000, 112, 1200, 96
 
 
 def folded(codes: np.ndarray) -> np.ndarray:
