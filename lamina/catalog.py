@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import secrets
 from collections.abc import Iterable
@@ -18,6 +19,8 @@ from lamina.types import Schema, from_json, to_json
 ROOT = "0" * 64
 HEAD, LATEST = "HEAD", "latest"
 COMMENT_MAX = 4096
+#: Manifests of objects that are read one by one, before a job is worth it.
+FETCH_AT_ONCE = 64
 
 
 class AmbiguousHash(ValueError):
@@ -104,6 +107,13 @@ class Catalog:
         return self._objects[id]
 
     def objects(self, ids: Iterable[str]) -> list[ObjectMeta]:
+        """Facts of objects in the order asked for; many that aren't held yet are read by the cluster at once."""
+        ids = list(ids)
+        missing = [i for i in dict.fromkeys(ids) if i not in self._objects]
+        if len(missing) > FETCH_AT_ONCE:
+            for r in self.spark.read.text([self.store.at("meta", f"{i}.json") for i in missing], wholetext=True).collect():
+                meta = ObjectMeta(**json.loads(r["value"]))
+                self._objects[meta.id] = meta
         return [self.object(i) for i in ids]
 
     def has_object(self, id: str) -> bool:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina import changes as ch
-from lamina.catalog import HEAD, ROOT, Catalog, Image, Images, TableVersion, parse_name
+from lamina.catalog import HEAD, ROOT, Catalog, Image, Images, TableVersion, now, parse_name
 from lamina.fragments import CHUNK, reindex, write_base, write_patch
 from lamina.quals import Quals
 from lamina.scan import TableScan
@@ -259,8 +259,33 @@ class Repository:
         version = self.images[image].tables[table]
         return reindex(self.catalog, version.objects, version.schema, indexes, skip_patches)
 
+    def import_from_remote(self, remote: Repository, image: str, tables: Sequence[str], names: Sequence[str] | None = None) -> Image:
+        """Tables of a repository in another root: their objects come along, its history doesn't."""
+        return self.import_tables(list(names or tables), remote, list(tables), image)
+
+    def prepare_image(self, base: str | None = None, comment: str | None = None) -> Image:
+        """A new image with the tables of another, to be filled by a loader."""
+        if not self.images.exists():
+            self.init()
+        found = self.images[base] if base else None
+        return self.images.add(found.hash if found else None, None, dict(found.tables) if found else {}, comment)
+
+    def make_latest(self, image: str) -> Image:
+        """Move an image's time of creation, so that it is the latest."""
+        found = self.images[image]
+        found.created = now()
+        self.images.update(found)
+        return found
+
     # queries
 
+    def sql_as(self, query: str, image: str | None = None, many_rows: bool = True, many_columns: bool = True):
+        """Rows of a query as plain Python: all or the first, whole or their first value."""
+        df = self.sql(query, image)
+        rows = df.collect() if many_rows else df.limit(1).collect()
+        shaped = [tuple(r) if many_columns else r[0] for r in rows]
+        return shaped if many_rows else (shaped[0] if shaped else None)
+
     def sql(self, query: str, image: str | None = None) -> DataFrame:
         """SELECT over the tables of an image, or of the working copy, read lazily."""
         if image is None and self.work is not None:
@@ -458,3 +483,14 @@ def run_sql(spark: SparkSession, query: str, tables: dict) -> DataFrame:
 
 def describe(image: Image) -> str:
     return dumps(image.to_json())
+
+
+def lookup(name: str, local: Catalog, others: Sequence[Catalog] = (), overrides: dict[str, Catalog] | None = None) -> Repository:
+    """The repository of that name: where an override says, here, or in the first other root that has it."""
+    if name in (overrides or {}):
+        return Repository(overrides[name], name)
+    for catalog in (local, *others):
+        found = Repository(catalog, name)
+        if found.images.exists():
+            return found
+    raise NotFound(f"no repository {name}")
