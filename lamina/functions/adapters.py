@@ -67,3 +67,55 @@ def distinct_on(df, keys: list[str], by: list[Column]):
 
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
     return df.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+
+
+# JSON and arrays
+
+
+def json_text(j: Column, *path: str | int) -> Column:
+    """``j #>> path``: text at a path, null where there is none."""
+    return F.get_json_object(j, "$" + "".join(f"[{p}]" if isinstance(p, int) else f"['{p}']" for p in path))
+
+
+def json_has_key(j: Column, key: str) -> Column:
+    """``j ? 'key'`` for objects."""
+    return F.coalesce(F.array_contains(F.json_object_keys(j), key), F.when(j.isNotNull(), F.lit(False)))
+
+
+def json_contains(j: Column, part: dict[str, object]) -> Column:
+    """``j @> part`` for flat objects of plain values."""
+    tests = [json_text(j, k).isNull() & json_has_key(j, k) if v is None else json_text(j, k) == F.lit(str(v).lower() if isinstance(v, bool) else str(v)) for k, v in part.items()]
+    out = F.lit(True)
+    for t in tests:
+        out = out & F.coalesce(t, F.lit(False))
+    return F.when(j.isNotNull(), out)
+
+
+def json_each(df, column: str, keep: list[str]):
+    """``jsonb_each_text``: a row (key, value) for each field of an object."""
+    return df.select(*keep, F.explode(F.from_json(F.col(column), "map<string,string>")).alias("key", "value"))
+
+
+def json_elements(df, column: str, keep: list[str]):
+    """``jsonb_array_elements``: a row for each element, as JSON text."""
+    return df.select(*keep, F.posexplode(F.from_json(F.col(column), "array<string>")).alias("place", "element"))
+
+
+def json_object_agg(key: Column, value: Column) -> Column:
+    """``json_object_agg``: an object in order of keys."""
+    return F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key.cast("string").alias("k"), value.alias("v"))))))
+
+
+def contained(a: Column, b: Column) -> Column:
+    """``a <@ b`` of arrays."""
+    return F.size(F.array_except(a, b)) == 0
+
+
+def byte_at(b: Column, place: int) -> Column:
+    """``get_byte(b, place)``, counted from 0."""
+    return F.conv(F.hex(F.substring(b, place + 1, 1)), 16, 10).cast("int")
+
+
+def encode_hex(b: Column) -> Column:
+    """``encode(b, 'hex')``."""
+    return F.lower(F.hex(b))

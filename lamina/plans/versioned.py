@@ -397,6 +397,50 @@ def eviction(spark, sf_dir):
     return eviction_order(objects).select("id", F.round("score", 1).alias("score"), "freed")
 
 
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k') IS NOT NULL AS has, coalesce(json_extract_string(props, '$.k') = '7', false) AS seven FROM events")
+def json_access(spark, sf_dir):
+    j = F.col("props")
+    return table(spark, sf_dir, "events").select("event_id", pg.json_text(j, "k").alias("k"), pg.json_has_key(j, "k").alias("has"), pg.json_contains(j, {"k": 7}).alias("seven"))
+
+
+@query("SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def json_fields(spark, sf_dir):
+    return pg.json_each(table(spark, sf_dir, "events"), "props", ["event_id"])
+
+
+@query("SELECT r_regionkey, list_sort(list(n_nationkey)) AS nations, list_contains(list(n_nationkey), 1) AS one FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey")
+def array_functions(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.sort_array(F.collect_list("n_nationkey")).alias("nations"))
+    return nations.withColumn("one", pg.contained(F.array(F.lit(1)), F.col("nations")))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def sqlite_roundtrip(spark, sf_dir):
+    """A table through a SQLite file and its source plugin."""
+    import os
+    import sqlite3
+    import tempfile
+
+    from lamina.sources.base import SqliteSource
+
+    path = os.path.join(tempfile.mkdtemp(prefix="lamina-"), "x.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE nation (n_nationkey INTEGER PRIMARY KEY, n_name TEXT, n_regionkey INTEGER)")
+        db.executemany("INSERT INTO nation VALUES (?, ?, ?)", [tuple(r) for r in table(spark, sf_dir, "nation").collect()])
+    read = SqliteSource(spark, path=path).tables()["nation"]()
+    return read.select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int"))
+
+
+@query("SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_orderpriority, CAST(o_custkey AS INTEGER) AS o_custkey FROM orders")
+def csv_roundtrip(spark, sf_dir):
+    """A table through CSV files, with dialect and types found again."""
+    from lamina.sources.csvfiles import read_csv, write_csv
+
+    path = scratch_path(spark, "csv")
+    write_csv(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey"), path, delimiter=";")
+    return read_csv(spark, path)
+
+
 @query()
 def remote_translation(spark, sf_dir):
     """Requests that qualifiers, sorts and aggregates become in the dialect of an open-data API."""

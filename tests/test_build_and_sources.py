@@ -325,3 +325,41 @@ def test_missing_things(spark, root):
     with pytest.raises(ValueError):
         repo.init()
     assert schema_of(spark.range(1).schema) == [Column(1, "id", "bigint")]
+
+
+def test_json_and_arrays(spark):
+    df = spark.createDataFrame([(1, '{"a": 1, "b": {"c": [5, 6]}, "d": null, "t": true}', [1, 2]), (2, None, [3])], "k int, j string, a array<int>")
+    j = F.col("j")
+    one = df.select(pg.json_text(j, "b", "c", 1), pg.json_has_key(j, "d"), pg.json_has_key(j, "x"), pg.json_contains(j, {"a": 1, "t": True, "d": None}), pg.json_contains(j, {"a": 2}), pg.contained(F.array(F.lit(2)), F.col("a"))).collect()
+    assert tuple(one[0]) == ("6", True, False, True, False, True) and one[1][3] is None and one[1][5] is False
+    assert [tuple(r) for r in pg.json_each(df, "j", ["k"]).where("key = 'a'").collect()] == [(1, "a", "1")]
+    assert pg.json_elements(spark.createDataFrame([("[1,[2]]",)], "j string"), "j", []).count() == 2
+    assert df.agg(pg.json_object_agg(F.col("k"), F.size("a"))).first()[0] == '{"1":2,"2":1}'
+    b = F.lit("A~").cast("binary")
+    assert tuple(df.select(pg.byte_at(b, 1), pg.encode_hex(b)).first()) == (126, "417e")
+
+
+def test_source_plugins(spark, root, tmp_path):
+    from lamina.sources.base import SOURCES, SourceError
+
+    (tmp_path / "a.csv").write_text("k,v\n1,x\n2,y\n")
+    spark.range(4).write.parquet(f"{tmp_path}/p")
+    csv = SOURCES["csv"](spark, paths={"a": f"file://{tmp_path}/a.csv", "b": f"file://{tmp_path}/missing.csv"})
+    found = csv.introspect()
+    assert [c.name for c in found["a"]] == ["k", "v"] and "FileNotFound" in found["b"]
+    assert csv.preview(1)["a"] == [{"k": 1, "v": "x"}]
+    repo = Repository(Catalog(spark, root), "plug")
+    csv.load(repo, ["a"], {"a": ["k"]})
+    assert rows(repo.table("latest", "a").read()) == [(1, "x"), (2, "y")]
+    files = SOURCES["files"](spark, paths={"p": f"file://{tmp_path}/p"}, format="parquet")
+    files.sync(repo, {"p": ["id"]})
+    files.sync(repo, {"p": ["id"]})
+    assert repo.table("latest", "p").count() == 4
+    assert files.mount() == {"p": "p"} and spark.table("p").count() == 4
+    spark.catalog.dropTempView("p")
+    image = Builder(repo.catalog).run(f"FROM EMPTY AS mounted\nFROM MOUNT csv '{{\"paths\": {{\"a\": \"file://{tmp_path}/a.csv\"}}}}' IMPORT a")
+    assert Repository(repo.catalog, "mounted").table(image, "a").count() == 2
+    with pytest.raises(SourceError):
+        SOURCES["csv"](spark, path="x")
+    assert SOURCES["frames"](spark, frames={"f": [(1,)]}).introspect()["f"][0].name == "_1"
+    assert set(SOURCES["jdbc"](spark, kind="mysql", host="h", database="d", tables=["t"], queries={"q": "SELECT 1"}).tables()) == {"t", "q"}
