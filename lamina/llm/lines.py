@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.runtime import delete_path, scratch_path, table
@@ -106,12 +106,12 @@ def dedup_lines(docs: DataFrame, n_batches: int = BATCHES, fanout: int = FANOUT,
         survivors = run if survivors is None else survivors.unionByName(run)
     mark = uuid.uuid4().hex[:8]
     d, t, kept, copy = f"_d{mark}", f"_t{mark}", f"_k{mark}", f"_c{mark}"
-    keep = survivors.groupBy(F.col("doc_id").alias(d), F.col("th").alias(t)).agg(F.collect_list("pos").alias(kept))
-    mine = docs.withColumn(t + "x", F.xxhash64(F.col(text)))
-    from pyspark.sql import Window
-
-    row = F.row_number().over(Window.partitionBy("doc_id", t + "x").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    joined = mine.withColumn(copy, row).join(keep, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(t + "x") == F.col(t)), "left")
+    own = lambda id, h: F.xxhash64(id, h)  # noqa: E731  with the text's hash it tells rows apart, null ids too
+    keep = survivors.groupBy(own("doc_id", "th").alias(d), F.col("th").alias(t)).agg(F.collect_list("pos").alias(kept))
+    mine = docs.withColumn(t + "x", F.xxhash64(F.col(text))).withColumn(d + "x", own("doc_id", t + "x"))
+    # window and join have the same keys, so the documents move once
+    row = F.row_number().over(Window.partitionBy(d + "x", t + "x").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    joined = mine.withColumn(copy, row).join(keep, (F.col(d + "x") == F.col(d)) & (F.col(t + "x") == F.col(t)), "left")
     pos = F.when(F.col(copy) == 1, F.coalesce(kept, F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>"))
     lines = F.split(F.col(text), "\n", -1)
     chosen = F.filter(lines, lambda x, i: (F.trim(x) == "") | F.array_contains(pos, i))
