@@ -16,18 +16,18 @@ SHARED: dict[str, str] = {
     "filter_null": "SELECT k, v FROM (SELECT c_custkey AS k, nullif(c_nationkey, 3) AS v FROM customer) t WHERE v IS NULL OR v IN (1, 2)",
     "filter_like": "SELECT c_custkey, c_name FROM customer WHERE c_name LIKE '%1_' AND c_name NOT LIKE '%11'",
     "filter_between": "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 10",
-    "filter_expr": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey % 7 = l_suppkey % 7 AND l_quantity * 2 > 60",
+    "filter_expr": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey > l_suppkey * 20 AND l_quantity * 2 > 60",
     "filter_date": "SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '1998-06-01 00:00:00' - INTERVAL '1' YEAR",
     "filter_subquery": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) AND EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND n_regionkey = 1)",
     # joins
     "join_inner": "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_acctbal > 5000",
     "join_self_dimension": "SELECT a.n_name AS buyer, b.n_name AS seller, count(*) AS n FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN nation a ON a.n_nationkey = c.c_nationkey JOIN nation b ON b.n_nationkey = s.s_nationkey GROUP BY a.n_name, b.n_name",
     "join_left_chain": "SELECT r.r_name, n.n_name, s.s_name FROM region r LEFT JOIN nation n ON n.n_regionkey = r.r_regionkey LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000",
-    "join_full_outer": "SELECT c.k AS ck, s.k AS sk FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0) c FULL OUTER JOIN (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 2 = 0) s ON c.k = s.k",
+    "join_full_outer": "SELECT c.k AS ck, s.k AS sk FROM (SELECT c_custkey AS k FROM customer) c FULL OUTER JOIN (SELECT s_suppkey * 2 AS k FROM supplier) s ON c.k = s.k",
     "join_semi": "SELECT n_name FROM nation n WHERE EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal > 9000)",
     "join_anti": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "join_subaggregates": "SELECT a.k, a.n, b.top FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) a JOIN (SELECT o_custkey AS k, max(o_totalprice) AS top FROM orders GROUP BY o_custkey) b ON a.k = b.k",
-    "join_other_columns": "SELECT a.s, a.lo FROM (SELECT p_size AS s, min(p_partkey) AS lo FROM part GROUP BY p_size) a JOIN (SELECT p_size AS s, max(p_partkey) AS hi FROM part WHERE p_partkey < 1000 GROUP BY p_size) b ON a.lo % 50 = b.hi % 50",
+    "join_other_columns": "SELECT a.s, a.lo FROM (SELECT p_size AS s, min(p_partkey) AS lo FROM part GROUP BY p_size) a JOIN (SELECT p_size AS s, max(p_partkey) AS hi FROM part GROUP BY p_size) b ON a.lo < b.hi AND a.s = b.s + 1",
     "join_using": "SELECT k, a.n_name, b.s_name FROM (SELECT n_nationkey AS k, n_name FROM nation) a JOIN (SELECT s_nationkey AS k, s_name FROM supplier) b USING (k)",
     "join_theta": "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n WHERE n.n_regionkey < r.r_regionkey",
     # aggregates

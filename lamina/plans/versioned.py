@@ -1,10 +1,11 @@
 """Queries on versioned tables. A small catalog with two versions of orders is made once per session and data folder.
 
-Version 2 deletes keys = 3 mod 10, raises the price of those = 5 mod 10 by 1 and copies those = 7 mod 10 to key + 10^9.
+Version 2 deletes orders of the lowest priority, raises the price of finished ones by 1 and copies urgent ones to key + 10^9.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,13 +49,14 @@ def repository(spark: SparkSession, sf_dir: str) -> Repository:
 
 
 def edit(work) -> None:
-    work.sql("DELETE FROM orders WHERE o_orderkey % 10 = 3; UPDATE orders SET o_totalprice = o_totalprice + 1 WHERE o_orderkey % 10 = 5")
-    work.insert("orders", work.table("orders").where("o_orderkey % 10 = 7").withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000_000))
+    work.sql("DELETE FROM orders WHERE o_orderpriority = '5-LOW'; UPDATE orders SET o_totalprice = o_totalprice + 1 WHERE o_orderstatus = 'F'")
+    work.insert("orders", work.table("orders").where("o_orderpriority = '1-URGENT'").withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000_000))
 
 
 COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
-V2 = f"""(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + CASE WHEN o_orderkey % 10 = 5 THEN 1 ELSE 0 END AS o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 10 <> 3
-UNION ALL SELECT o_orderkey + 1000000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 10 = 7)"""
+_PRICE = "o_totalprice + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS o_totalprice"
+V2 = f"""(SELECT o_orderkey, o_custkey, o_orderstatus, {_PRICE}, o_orderdate, o_orderpriority FROM orders WHERE o_orderpriority <> '5-LOW'
+UNION ALL SELECT o_orderkey + 1000000000, o_custkey, o_orderstatus, {_PRICE}, o_orderdate, o_orderpriority FROM orders WHERE o_orderpriority = '1-URGENT')"""
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -139,7 +141,7 @@ def diff_counts(spark, sf_dir):
     return spark.createDataFrame([repository(spark, sf_dir).diff_counts("orders", "v1", "v2")], "added long, removed long, changed long")
 
 
-@query("SELECT count(*) FILTER (WHERE o_orderkey % 10 = 7) AS inserted, count(*) FILTER (WHERE o_orderkey % 10 = 3) AS deleted, count(*) FILTER (WHERE o_orderkey % 10 = 5) AS updated FROM orders")
+@query("SELECT count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS inserted, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS deleted, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW') AS updated FROM orders")
 def pending_counts(spark, sf_dir):
     repo = repository(spark, sf_dir)
     work = repo.checkout("v1", force=True)
@@ -149,12 +151,12 @@ def pending_counts(spark, sf_dir):
     return spark.createDataFrame([out], "inserted long, deleted long, updated long")
 
 
-@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id HAVING arg_max(event_id % 5, event_id) <> 0")
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id HAVING arg_max(value, event_id) < 80")
 def conflate(spark, sf_dir):
-    """Net effect of a log of upserts and deletions (event_id = 0 mod 5) by user, from nothing."""
+    """Net effect of a log of upserts and deletions (values of 80 and more) by user, from nothing."""
     events = table(spark, sf_dir, "events")
     row = F.struct("user_id", "event_type", "value")
-    live = F.col("event_id") % 5 != 0
+    live = F.col("value") < 80
     nth = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     log = events.withColumn("n", nth).select(F.col("event_id").alias("seq"), F.when(live, 0).otherwise(1).alias("op"), F.when(F.col("n") > 1, row).alias("old"), F.when(live, row).alias("new"))
     # a deletion needs a row to name its key; the first old row of each user is nothing
@@ -163,21 +165,26 @@ def conflate(spark, sf_dir):
     return ch.conflate(log, schema).where("upserted").select("new.*")
 
 
-@query("SELECT part, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 10 = 7 THEN CASE WHEN o_orderkey < 100 THEN 0 WHEN o_orderkey <= 300 THEN 1 WHEN o_orderkey <= 900 THEN 2 ELSE 3 END END AS part FROM orders) t WHERE part IS NOT NULL GROUP BY part")
+@query("SELECT part, count(*) AS n FROM (SELECT CASE WHEN o_orderkey < 100 THEN 0 WHEN o_orderkey <= 300 THEN 1 WHEN o_orderkey <= 900 THEN 2 ELSE 3 END AS part FROM orders) t GROUP BY part")
 def split_changes(spark, sf_dir):
-    keys = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 7").select("o_orderkey")
+    keys = table(spark, sf_dir, "orders").select("o_orderkey")
     got = split_boundaries(keys, [Column(1, "o_orderkey", "bigint", True)], [((100,), (300,)), ((500,), (900,))], "part")
     return got.groupBy(F.col("part").cast("int").alias("part")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH i AS (SELECT p_partkey AS id, p_partkey * 3 AS a, p_partkey * 3 + p_size % 7 AS b FROM part WHERE p_partkey < 200),
-m AS (SELECT *, max(b) OVER (ORDER BY a, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM i),
-g AS (SELECT *, sum(CASE WHEN e IS NULL OR a > e THEN 1 ELSE 0 END) OVER (ORDER BY a, id) AS gid FROM m)
-SELECT min(a) AS lo, max(b) AS hi, count(*) AS n FROM g GROUP BY gid""")
+@query("""WITH i AS (SELECT p_brand, p_partkey AS id, p_partkey * 3 AS a, p_partkey * 3 + p_size * 2 AS b FROM part),
+m AS (SELECT *, max(b) OVER (PARTITION BY p_brand ORDER BY a, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM i),
+g AS (SELECT *, sum(CASE WHEN e IS NULL OR a > e THEN 1 ELSE 0 END) OVER (PARTITION BY p_brand ORDER BY a, id) AS gid FROM m)
+SELECT p_brand, min(a) AS lo, max(b) AS hi, count(*) AS n FROM g GROUP BY p_brand, gid""")
 def interval_groups(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").where("p_partkey < 200").selectExpr("p_partkey", "p_partkey * 3", "p_partkey * 3 + p_size % 7").collect()
-    groups = chunk_groups([tuple(r) for r in rows])
-    return spark.createDataFrame([(min(x[1] for x in g), max(x[2] for x in g), len(g)) for g in groups], "lo long, hi long, n long")
+    """Groups of overlapping intervals, for each brand as for the objects of a table."""
+
+    def merge(key, pdf):
+        groups = chunk_groups(list(pdf[["p_partkey", "a", "b"]].itertuples(index=False, name=None)))
+        return pd.DataFrame([(key[0], min(x[1] for x in g), max(x[2] for x in g), len(g)) for g in groups], columns=["p_brand", "lo", "hi", "n"])
+
+    rows = table(spark, sf_dir, "part").selectExpr("p_brand", "p_partkey", "p_partkey * 3 AS a", "p_partkey * 3 + p_size * 2 AS b")
+    return rows.groupBy("p_brand").applyInPandas(merge, "p_brand string, lo long, hi long, n long")
 
 
 scan("scan_point", [[("o_orderkey", "=", 115)]], "o_orderkey = 115")
@@ -190,12 +197,12 @@ scan("scan_null", [[("o_custkey", "is null", None), ("o_orderkey", ">", 1_000_00
 scan("scan_columns", [[("o_totalprice", ">", 250000.0)]], "o_totalprice > 250000", "o_orderpriority, o_orderkey")
 
 
-@query(f"SELECT t.o_orderkey, c.c_name FROM {V2} t JOIN customer c ON c.c_custkey = t.o_custkey WHERE t.o_totalprice < c.c_acctbal * 20 AND t.o_orderkey < 5000")
+@query(f"SELECT t.o_orderkey, c.c_name FROM {V2} t JOIN customer c ON c.c_custkey = t.o_custkey WHERE t.o_totalprice < c.c_acctbal * 20")
 def scan_join(spark, sf_dir):
-    return repository(spark, sf_dir).sql("SELECT t.o_orderkey, c.c_name FROM orders t JOIN customer c ON c.c_custkey = t.o_custkey WHERE t.o_totalprice < c.c_acctbal * 20 AND t.o_orderkey < 5000", "v2")
+    return repository(spark, sf_dir).sql("SELECT t.o_orderkey, c.c_name FROM orders t JOIN customer c ON c.c_custkey = t.o_custkey WHERE t.o_totalprice < c.c_acctbal * 20", "v2")
 
 
-@query("SELECT CAST(count(*) FILTER (WHERE o_orderkey % 10 <> 3) + count(*) FILTER (WHERE o_orderkey % 10 = 7) AS BIGINT) AS rows_by_metadata FROM orders")
+@query("SELECT CAST(count(*) FILTER (WHERE o_orderpriority <> '5-LOW') + count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS BIGINT) AS rows_by_metadata FROM orders")
 def length_by_metadata(spark, sf_dir):
     return spark.createDataFrame([(repository(spark, sf_dir).table("v2", "orders").count(),)], "rows_by_metadata long")
 
@@ -208,12 +215,13 @@ def pruned_objects(spark, sf_dir):
     return spark.createDataFrame([(k, len(p.required), p.total) for k, q in cases.items() for p in [t.plan(q)]], "qualifier string, needed long, objects long")
 
 
-@query("""WITH u AS (SELECT o_orderkey AS k, o_orderkey % 10 <> 3 AS flag, o_totalprice + 1 AS p FROM orders WHERE o_orderkey % 10 IN (3, 5))
+@query("""WITH u AS (SELECT o_orderkey AS k, o_orderstatus <> 'P' AS flag, o_totalprice + 1 AS p FROM orders WHERE o_orderstatus IN ('P', 'F'))
 SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_orderkey NOT IN (SELECT k FROM u) UNION ALL SELECT k, p FROM u WHERE flag""")
 def overlay_view(spark, sf_dir):
-    lower = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "o_totalprice AS p")
-    upper = lower.where("k % 10 IN (3, 5)").selectExpr("k", "p + 1 AS p", "k % 10 <> 3 AS flag", "1 AS seq")
-    older = lower.where("k % 10 = 5").selectExpr("k", "p - 9 AS p", "false AS flag", "0 AS seq")
+    orders = table(spark, sf_dir, "orders")
+    lower = orders.selectExpr("o_orderkey AS k", "o_totalprice AS p")
+    upper = orders.where("o_orderstatus IN ('P', 'F')").selectExpr("o_orderkey AS k", "o_totalprice + 1 AS p", "o_orderstatus <> 'P' AS flag", "1 AS seq")
+    older = orders.where("o_orderstatus = 'F'").selectExpr("o_orderkey AS k", "o_totalprice - 9 AS p", "false AS flag", "0 AS seq")
     return ch.overlay(lower, upper.unionByName(older), schema_of(lower.schema, ("k",)))
 
 
@@ -309,19 +317,19 @@ def sizes_and_unused(spark, sf_dir):
     return spark.createDataFrame([(repo.catalog.unused_objects().count(), repo.size() == repo.image_size("latest") > 0)], "unused long, counted boolean")
 
 
-def _slices(spark, sf_dir):
+def _both(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-    return c.where("c_custkey % 3 <> 0"), c.where("c_custkey % 2 = 0").withColumn("c_nationkey", F.col("c_nationkey") + 100)
+    return c, c.withColumn("c_custkey", F.col("c_custkey") * 2).withColumn("c_nationkey", F.col("c_nationkey") + 100)
 
 
-@query("SELECT c_custkey, c_name, CAST(c_nationkey + CASE WHEN c_custkey % 2 = 0 THEN 100 ELSE 0 END AS INTEGER) AS c_nationkey FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 <> 0")
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey * 2 FROM customer) UNION ALL SELECT c_custkey * 2, c_name, CAST(c_nationkey + 100 AS INTEGER) FROM customer")
 def upsert_patch(spark, sf_dir):
-    return merge_rows(*_slices(spark, sf_dir), ["c_custkey"])
+    return merge_rows(*_both(spark, sf_dir), ["c_custkey"])
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 <> 0")
+@query("SELECT c_custkey FROM customer UNION SELECT c_custkey * 2 FROM customer")
 def upsert_keys_only(spark, sf_dir):
-    a, b = _slices(spark, sf_dir)
+    a, b = _both(spark, sf_dir)
     return merge_rows(a.select("c_custkey"), b.select("c_custkey"), ["c_custkey"])
 
 
@@ -380,20 +388,20 @@ def distinct_on(spark, sf_dir):
     return pg.distinct_on(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], [pg.order("o_orderkey", descending=True)])
 
 
-@query("SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n, CAST(min(c_custkey) AS BIGINT) AS lo FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN CAST(c_nationkey + 50 AS INTEGER) ELSE c_nationkey END AS c_nationkey FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT -1, 7) t GROUP BY c_nationkey")
+@query("SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n, CAST(min(c_custkey) AS BIGINT) AS lo FROM (SELECT c_custkey, CASE WHEN c_nationkey > 20 THEN CAST(c_nationkey + 50 AS INTEGER) ELSE c_nationkey END AS c_nationkey FROM customer WHERE c_nationkey <> 4 UNION ALL SELECT -1, 7) t GROUP BY c_nationkey")
 def dml_script(spark, sf_dir):
     repo = Repository(Catalog(spark, scratch_path(spark, "dml")), "demo/dml")
     repo.import_frame("c", table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), ("c_custkey",))
-    repo.work.sql("DELETE FROM c WHERE c_custkey % 4 = 0; UPDATE c SET c_nationkey = c_nationkey + 50 WHERE c_custkey % 5 = 0; INSERT INTO c VALUES (-1, 7); CREATE TABLE g AS SELECT c_nationkey, count(*) AS n, min(c_custkey) AS lo FROM c GROUP BY c_nationkey; DROP TABLE c")
+    repo.work.sql("DELETE FROM c WHERE c_nationkey = 4; UPDATE c SET c_nationkey = c_nationkey + 50 WHERE c_nationkey > 20; INSERT INTO c VALUES (-1, 7); CREATE TABLE g AS SELECT c_nationkey, count(*) AS n, min(c_custkey) AS lo FROM c GROUP BY c_nationkey; DROP TABLE c")
     repo.commit()
     return repo.table("latest", "g").read()
 
 
 @query("""SELECT id, round(score, 1) AS score, CAST(sum(size) OVER (ORDER BY orphan DESC, score, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS freed FROM (
 SELECT id, size, orphan, exp(-0.00000802 * idle) * greatest(size, 10485760) AS score FROM (
-SELECT CAST(p_partkey AS VARCHAR) AS id, p_partkey * 100003 AS size, CAST(p_size * 3600.0 AS DOUBLE) AS idle, p_partkey % 17 = 0 AS orphan FROM part) a) b""")
+SELECT CAST(p_partkey AS VARCHAR) AS id, p_partkey * 100003 AS size, CAST(p_size * 3600.0 AS DOUBLE) AS idle, p_size < 3 AS orphan FROM part) a) b""")
 def eviction(spark, sf_dir):
-    objects = table(spark, sf_dir, "part").selectExpr("cast(p_partkey AS string) AS id", "p_partkey * 100003 AS size", "cast(p_size * 3600 AS double) AS idle", "p_partkey % 17 = 0 AS orphan")
+    objects = table(spark, sf_dir, "part").selectExpr("cast(p_partkey AS string) AS id", "p_partkey * 100003 AS size", "cast(p_size * 3600 AS double) AS idle", "p_size < 3 AS orphan")
     return eviction_order(objects).select("id", F.round("score", 1).alias("score"), "freed")
 
 
