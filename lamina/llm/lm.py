@@ -34,6 +34,8 @@ CLASS_BITS, WORD_BITS = 14, 14
 ROUNDS, BATCH, RATE, CLIP = 2, 4096, 0.25, 12.0
 #: Rows of weights that travel together, and bytes of a slice of text.
 BLOCK, SLICE = 1024, 1 << 20
+#: Parts at least in which a block is averaged first.
+FAN = 4
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -131,6 +133,11 @@ class Model:
                 used[t][row] += count
 
 
+def packed(used: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """Counts of a block and its rows that were used, compressed."""
+    return pa.array([zlib.compress(used.tobytes() + rows[used > 0].tobytes(), 1)], pa.binary())
+
+
 def vocabulary(docs: DataFrame) -> Model:
     """Model without weights: words counted over all documents."""
 
@@ -151,6 +158,8 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     spark, model = docs.sparkSession, vocabulary(docs)
     sizes = [len(t) for t in model.tables()]
     firsts = np.cumsum([0] + [-(-n // BLOCK) for n in sizes])
+    blocks, wide = int(firsts[-1]), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    fan = max(FAN, wide // blocks)
     for r in range(rounds):
         shared = spark.sparkContext.broadcast(model.state())
 
@@ -171,12 +180,12 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
                     u = used[t][at : at + BLOCK]
                     if u.any():
                         body = np.hstack([w[at : at + BLOCK], m.squares[t][at : at + BLOCK, None]]).astype(np.float32)
-                        yield pa.RecordBatch.from_arrays([pa.array([int(firsts[t]) + i]), pa.array([zlib.compress(u.tobytes() + body[u > 0].tobytes(), 1)], pa.binary())], ["block", "body"])
+                        yield pa.RecordBatch.from_arrays([pa.array([int(firsts[t]) + i]), pa.array([TaskContext.get().partitionId() % fan]), packed(u, body)], ["block", "salt", "body"])
 
         def merge(batches):
             sums: dict[int, list] = {}
             for b in batches:
-                for key, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for key, body in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
                     t = int(np.searchsorted(firsts, key, side="right") - 1)
                     n = min(BLOCK, sizes[t] - (key - int(firsts[t])) * BLOCK)
                     raw = zlib.decompress(body)
@@ -187,19 +196,21 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
                     sums[key][0] += u
                     sums[key][1][u > 0] += u[u > 0, None] * w
             for key, (u, w) in sums.items():
-                mean = w / np.maximum(u, 1)[:, None]
-                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([u.astype(np.float32).tobytes() + mean.astype(np.float32).tobytes()], pa.binary())], ["block", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([0]), packed(u.astype(np.float32), (w / np.maximum(u, 1)[:, None]).astype(np.float32))], ["block", "salt", "body"])
 
-        parts = min(int(firsts[-1]), max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-        sent = docs.mapInArrow(learn, "block long, body binary").repartition(parts, "block").mapInArrow(merge, "block long, body binary").collect()
-        for key, body in sent:
+        # two levels: what all partitions send for a block is averaged in ``fan`` parts first
+        kind, sent = "block long, salt long, body binary", docs.mapInArrow(learn, "block long, salt long, body binary")
+        for keys, n in ((["block", "salt"], min(wide, blocks * fan)), (["block"], blocks)):
+            sent = sent.repartition(max(1, min(n, wide)), *keys).mapInArrow(merge, kind)
+        for key, _, body in sent.collect():
             t = int(np.searchsorted(firsts, key, side="right") - 1)
             at = (key - int(firsts[t])) * BLOCK
             n = min(BLOCK, sizes[t] - at)
-            u = np.frombuffer(body, np.float32, n) > 0
-            mean = np.frombuffer(body, np.float32, -1, 4 * n).reshape(n, -1)
-            model.tables()[t][at : at + n][u] = mean[u, :-1]
-            model.squares[t][at : at + n][u] = mean[u, -1]
+            raw = zlib.decompress(body)
+            u = np.frombuffer(raw, np.float32, n) > 0
+            mean = np.frombuffer(raw, np.float32, -1, 4 * n).reshape(u.sum(), -1)
+            model.tables()[t][at : at + n][u] = mean[:, :-1]
+            model.squares[t][at : at + n][u] = mean[:, -1]
     return model
 
 
