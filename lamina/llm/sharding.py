@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamina.runtime import cut, table
+from lamina.runtime import cut, small, table
 
 TARGET = 64 << 20
 BINS = 1024
@@ -48,7 +48,7 @@ def medians(rows: DataFrame, nodes: dict[int, tuple[str, int, int]], spark: Spar
     found: dict[int, int] = {}
     while open_:
         asked = spark.createDataFrame([(k, d, lo, hi, -(-(hi - lo + 1) // BINS), under, total) for k, (d, lo, hi, under, total) in open_.items()], "node long, dim string, lo long, hi long, step long, under long, total long")
-        hit = rows.join(F.broadcast(asked), "node").withColumn("v", value).where("v BETWEEN lo AND hi")
+        hit = rows.join(small(asked, len(open_)), "node").withColumn("v", value).where("v BETWEEN lo AND hi")
         bins = hit.groupBy("node", "under", "total", F.expr("(v - lo) div step").alias("bin")).agg(F.sum("bytes").alias("w"), F.min("v").alias("least"), F.max("v").alias("most"))
         cum = bins.withColumn("upto", F.col("under") + F.sum("w").over(run.orderBy("bin"))).withColumn("all", F.when(F.col("total") < 0, F.sum("w").over(run)).otherwise(F.col("total")))
         for r in cum.where("upto * 2 >= all").groupBy("node").agg(F.min_by(F.struct("w", "upto", "all", "least", "most"), "bin").alias("m")).select("node", "m.*").collect():
@@ -91,12 +91,12 @@ def shards(docs: DataFrame, dims: list[str], target: int = TARGET, key: str = "d
         tree = spark.createDataFrame([(k, dim_of[k], c) for k, c in cuts.items()], "node long, dim string, at long")
         value = F.coalesce(*[F.when(F.col("dim") == d, F.col(d)) for d in sorted(set(dim_of.values()))])
         # one row per split node: 24 bytes for each two shards of a whole target
-        rows = cut(rows.join(F.broadcast(tree), "node", "left").withColumn("node", F.when(F.col("at").isNull(), F.col("node")).otherwise(F.col("node") * 2 + F.when(value <= F.col("at"), 0).otherwise(1))).select("id", "bytes", *names, "node"))
+        rows = cut(rows.join(small(tree, len(cuts)), "node", "left").withColumn("node", F.when(F.col("at").isNull(), F.col("node")).otherwise(F.col("node") * 2 + F.when(value <= F.col("at"), 0).otherwise(1))).select("id", "bytes", *names, "node"))
         level = {r["node"]: r for r in bounds(rows.where(F.col("node") >= 2 * min(nodes)), ["node"], names) if r["node"] // 2 in nodes}
     bits = max(k.bit_length() for k in leaves)
     order = sorted(leaves, key=lambda k: k << (bits - k.bit_length()))
     number = spark.createDataFrame([(k, i) for i, k in enumerate(order)], "node long, shard int")
-    return rows.join(F.broadcast(number), "node").select(F.col("id").alias(key), "bytes", "shard")
+    return rows.join(small(number, len(order)), "node").select(F.col("id").alias(key), "bytes", "shard")
 
 
 DIMS = ["lang", "source", "n_chars", "doc_id"]
