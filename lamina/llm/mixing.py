@@ -7,8 +7,9 @@ projected-gradient least squares: each iteration is one aggregation of K sums ov
 document's rate is replayed from the K-vectors of all iterations, so no state is stored. Steps are taken in the metric
 of the K x K token-weighted second moment of the posteriors, in which the unclipped problem has condition number 1.
 
-The budget is the largest at which no domain has to exceed what the corpus holds, so well-supplied documents keep a
-rate of about 1 and over-supplied domains shrink. A document is emitted floor(rate) times and once more with the
+The budget is the supply of the domain with the largest target: its documents keep a rate of about 1, domains with too
+much text shrink, and scarce ones are repeated, ``REPEATS`` times their tokens at most; a target beyond that stays unmet
+and takes nothing from the other domains. A document is emitted floor(rate) times and once more with the
 remaining probability, drawn from a hash of its id and text: the same rows give the same result anywhere.
 
 Only the classifier sees a sample: at most ``MAX_LABELLED`` labelled documents, chosen by hash of their id (parameter).
@@ -34,6 +35,8 @@ from lamina.runtime import cut, table
 DOMAINS = ("good", "poor", "toxic")
 #: Weights of the domains in the mixed corpus.
 TARGETS = (0.96, 0.03, 0.01)
+#: A domain's tokens are repeated so often at most. More would tilt the rates of clean documents by slight posteriors.
+REPEATS = 16.0
 MAX_LABELLED = 8000
 BITS = 17
 ITERATIONS = 16
@@ -170,8 +173,9 @@ def solve(members: DataFrame, targets=TARGETS, iterations: int = ITERATIONS):
     have = np.array([first[f"x{i}"] for i in range(k)]) / total
     moment = np.array([[first[f"m{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)]) / total
     want = np.array(targets, float)
-    budget = min(h / w for h, w in zip(have, want) if w > 0)
-    goal = want * budget
+    main = int(want.argmax())
+    budget = have[main] / want[main]
+    goal = np.minimum(want * budget, REPEATS * have)
     inverse = np.linalg.pinv(moment, rcond=1e-9)
     pulls: list[list[float]] = []
 

@@ -42,6 +42,21 @@ def test_mixing_meets_targets_and_brute_force(spark):
     assert np.allclose(want, rate, atol=1e-4)
 
 
+def test_mixing_repeats_scarce_domains_and_keeps_clean_documents(spark):
+    r = random.Random(8)
+    marks = {0: "calm clear precise careful measured", 1: "click buy cheap offer winner", 2: "vile rotten hateful nasty cruel"}
+    kind = [2] * 4 + [1] * 20 + [0] * 3976
+    docs = spark.createDataFrame([(i, " ".join(r.choice(marks[y].split()) if r.random() < 0.4 else w for w in prose(r, 40).split())) for i, y in enumerate(kind)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y == 0), int(y == 2)) for i, y in enumerate(kind)], "doc_id long, quality int, toxic int")
+    rows = mixing.mixed(docs, labels).collect()
+    p, n, rate = np.array([[x.p0, x.p1, x.p2] for x in rows]), np.array([x.n for x in rows], float), np.array([x.rate for x in rows])
+    share = (rate * n) @ p
+    assert np.abs(share / share.sum() - mixing.TARGETS).max() < 0.005
+    clean = [x for x in rows if kind[x.doc_id] == 0]
+    assert sum(x.copies > 0 for x in clean) > 0.97 * len(clean)
+    assert np.mean([x.copies for x in rows if kind[x.doc_id] == 2]) > 5 and np.mean([x.copies for x in rows if kind[x.doc_id] == 1]) > 3
+
+
 def test_mixing_hard_rows(spark, hard, empty):
     labels = spark.createDataFrame([(4, 1, 0), (10, 0, None), (8, 0, 0), (9, 1, 1), (None, 1, 0), (777, 0, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
     out = mixing.mix_documents(hard, labels)
