@@ -4,9 +4,15 @@ Each document is compressed with zstandard as a whole and again in fixed chunks.
 of its length does is repetitive; text that hardly shrinks is noise, keys or encoded bytes. Limits depend on length,
 since short inputs pay for the frame header and give the compressor little history.
 
+Where the corpus has labels, limits are drawn closer: of the clean documents (all their labels say quality 1) of each
+band, the ``QUANTILE`` least ratio less ``MARGIN`` is the least for whole texts over ``DERIVE_FROM`` bytes; likewise for
+chunks, from the least and greatest of each clean document, over all bands. A band with fewer than ``LEAST_CLEAN`` clean
+documents keeps the limit of ``BANDS``, and no limit gets looser than that. Ratios are counted in steps of 0.0001, so
+the driver gets one row per band and an aggregation holds few values however many documents there are.
+
 Defined results: null and empty texts have no ratio and are kept (there is nothing to judge); rows with equal ids or
 equal texts are judged alike, each on its own; other columns, whatever their names, pass through ``filter_documents``
-untouched. Documents are read once, without a shuffle.
+untouched. Documents are read once without labels, twice with them; ids and ratios are all that is shuffled.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.runtime import table
+from lamina.runtime import cut, table
 
 #: Longest length in bytes of a band, least and greatest ratio of whole texts in it.
 #: Below 64 bytes the frame outweighs the text, so nothing is told from a high ratio.
@@ -32,7 +38,12 @@ BANDS = (
 )
 CHUNK = 2048
 CHUNK_BAND = (0.28, 0.80)
-MAX_BAD_SHARE = 0.34
+#: Up to ten chunks, none may be bad.
+MAX_BAD_SHARE = 0.10
+#: Share of clean documents beyond a limit before the margin, which allows for wrong labels; margin as a share of the ratio.
+QUANTILE, MARGIN = 0.001, 0.06
+#: Clean documents that a band needs, and bytes up to which texts are too short to tell a repeated word from junk.
+LEAST_CLEAN, DERIVE_FROM = 16, 128
 LEVEL = 3
 VERDICT = T.StructType(
     [
@@ -70,7 +81,7 @@ def judge(raw: bytes, compress, bands=BANDS, chunk=CHUNK, chunk_band=CHUNK_BAND,
     return n, whole, least, most, bad, reason
 
 
-def verdicts(text: str = "text"):
+def verdicts(text: str = "text", bands=BANDS, chunk_band=CHUNK_BAND):
     """Column of ``VERDICT`` for a text column."""
     names, types = VERDICT.fieldNames(), [pa.int64(), *[pa.float64()] * 4, pa.string()]
 
@@ -79,32 +90,56 @@ def verdicts(text: str = "text"):
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=LEVEL).compress
-        rows = [judge(s.as_buffer(), compress) if s.is_valid else (0, *[None] * 5) for s in column.cast(pa.large_string())]
+        rows = [judge(s.as_buffer(), compress, bands, chunk_band=chunk_band) if s.is_valid else (0, *[None] * 5) for s in column.cast(pa.large_string())]
         columns = list(zip(*rows)) if rows else [[]] * 6
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     return band(F.col(text))
 
 
-def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+def limits(docs: DataFrame, labels: DataFrame | None, text: str = "text", key: str = "doc_id") -> tuple[tuple, tuple]:
+    """``BANDS`` and ``CHUNK_BAND``, drawn closer by the clean documents of the corpus."""
+    if labels is None:
+        return BANDS, CHUNK_BAND
+    clean = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("_q")).where("_q = 1")
+    judged = docs.select(F.col(f"`{key}`").alias("_id"), verdicts(text).alias("v")).where("v.n_bytes > 0").select("_id", "v.*")
+    band = F.coalesce(*[F.when(F.col("n_bytes") <= most, i) for i, (most, *_) in enumerate(BANDS)])
+    step = lambda c: F.floor(F.col(c) * 10_000) / 10_000
+    chunked = F.col("n_bytes") >= CHUNK * 3 // 2
+    found = judged.join(clean, "_id", "left_semi").select(
+        band.alias("band"), step("whole_ratio").alias("w"), F.when(chunked, step("chunk_min")).alias("lo"), F.when(chunked, step("chunk_max")).alias("hi")
+    )
+    found = cut(found)  # texts are compressed once for both aggregations
+    bands = list(BANDS)
+    for r in found.groupBy("band").agg(F.count("w").alias("n"), F.percentile("w", F.lit(QUANTILE)).alias("w")).collect():
+        most, low, high = BANDS[r["band"]]
+        if r["n"] >= LEAST_CLEAN and most > DERIVE_FROM:
+            bands[r["band"]] = (most, max(low, r["w"] * (1 - MARGIN)), high)
+    chunks = found.agg(F.count("lo").alias("n"), F.percentile("lo", F.lit(QUANTILE)).alias("lo"), F.percentile("hi", F.lit(1 - QUANTILE)).alias("hi")).first()
+    if chunks["n"] < LEAST_CLEAN:
+        return tuple(bands), CHUNK_BAND
+    return tuple(bands), (max(CHUNK_BAND[0], chunks["lo"] * (1 - MARGIN)), min(CHUNK_BAND[1], chunks["hi"] * (1 + MARGIN)))
+
+
+def filter_documents(docs: DataFrame, text: str = "text", labels: DataFrame | None = None) -> DataFrame:
     """The documents that no band rejects, with their own columns."""
     name = "_verdict"
     while name in docs.columns:
         name += "_"
-    return docs.withColumn(name, verdicts(text)).where(F.col(name)["reason"].isNull()).drop(name)
+    return docs.withColumn(name, verdicts(text, *limits(docs, labels, text))).where(F.col(name)["reason"].isNull()).drop(name)
 
 
-def kept(docs: DataFrame) -> DataFrame:
+def kept(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Kept documents with the figures that they were judged by."""
     return (
-        docs.select("doc_id", verdicts().alias("v"))
+        docs.select("doc_id", verdicts("text", *limits(docs, labels)).alias("v"))
         .where(F.col("v.reason").isNull())
         .select("doc_id", *[F.col(f"v.{c}").alias(c) for c in VERDICT.fieldNames() if c != "reason"])
     )
 
 
 def op10_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(table(spark, sf_dir, "documents"))
+    return kept(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {"op10_quality_bands": op10_quality_bands}

@@ -31,6 +31,22 @@ def test_quality_of_nothing(empty):
     assert quality.filter_documents(empty).count() == 0 and quality.kept(empty).count() == 0
 
 
+def test_quality_limits_follow_clean_documents(spark):
+    r = random.Random(3)
+    # ratios of about 0.45: words of many letters that occur once or twice
+    clean = lambda n: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    part = lambda n, share: clean(int(n * (1 - share))) + " " + "buy now and save today " * int(n * share)
+    rows = [(i, clean(r.choice([150, 300, 1200, 2500, 5000]))) for i in range(200)]
+    rows += [(200 + i, part(n, share)) for i, (n, share) in enumerate((n, share) for n in (300, 1200, 2500, 5000) for share in (0.3, 0.5))]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(160)] + [(i, 0, 0) for i in range(200, 208)] + [(207, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id for x in quality.filter_documents(docs, labels=labels).collect()}
+    assert got == set(range(200)) == {x.doc_id for x in quality.kept(docs, labels).collect()}
+    bands, chunk_band = quality.limits(docs, labels)
+    assert all(b[0] == a[0] and b[1] >= a[1] and b[2] == a[2] for a, b in zip(quality.BANDS, bands)) and chunk_band[0] > quality.CHUNK_BAND[0]
+    assert quality.limits(docs, labels.limit(0)) == (quality.BANDS, quality.CHUNK_BAND)
+
+
 def brute_lines(rows):
     """First bearer by (id, text hash, place) keeps a line; here texts of one id are equal, so row order does."""
     order = sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is not None, r[0] or 0))
