@@ -6,7 +6,9 @@ the more even one. Leaves hold at most the target, or rows that no dimension tel
 by the same few aggregations over a narrow metadata table: medians are found by refining 1024-bin histograms, so
 neither sort nor driver memory grows with the rows; the driver holds one row per open node.
 
-Dimensions are integers: numbers as they are, strings by their first seven bytes in order, null least. Documents count
+Dimensions are integers: numbers as they are in all 64 bits, strings by their place among the column's distinct values
+in order of bytes, found by a distributed sort of these. Null is one less than the least value (the least 64-bit integer,
+where the column holds that itself). Documents count
 at least one byte, so empty and null texts spread like others. Rows with equal metadata (ties, repeated rows) share a
 leaf. An empty table gives no rows. Leaves are numbered from left to right. Other columns play no part.
 """
@@ -20,16 +22,38 @@ from lamina.runtime import cut, small, table
 
 TARGET = 64 << 20
 BINS = 1024
-NULL = -(2**62)
+LEAST = -(2**63)
 
 
-def ordinal(df: DataFrame, name: str) -> Column:
-    """Order-preserving integer of a column, null first."""
-    kind = dict(df.dtypes)[name]
-    c = F.col(f"`{name}`")
-    if kind == "string":
-        c = F.conv(F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, 7)), 14, "0"), 16, 10)
-    return F.coalesce(F.least(F.greatest(c.cast("long"), F.lit(NULL // 2)), F.lit(-NULL // 2)), F.lit(NULL))
+def ranked(docs: DataFrame, name: str, rank: str) -> tuple[DataFrame, int]:
+    """(name, rank) of a string column's distinct values, dense and in order; and how many there are.
+
+    Rows are numbered within the partitions of a sort; the driver adds up one count per partition.
+    """
+    row = F.monotonically_increasing_id()  # partition << 33 | row
+    values = docs.select(F.col(f"`{name}`").alias(rank + "v")).where(F.col(rank + "v").isNotNull()).distinct()
+    values = cut(values.orderBy(rank + "v").select(rank + "v", F.shiftright(row, 33).alias("p"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("i")))
+    counts, firsts, total = values.groupBy("p").agg(F.count("*").alias("n")).orderBy("p").collect(), [], 0
+    for r in counts:
+        firsts.append((r["p"], total))
+        total += r["n"]
+    first = docs.sparkSession.createDataFrame(firsts, "p long, first long")
+    return values.join(F.broadcast(first), "p").select(rank + "v", (F.col("first") + F.col("i")).alias(rank)), total
+
+
+def measured(docs: DataFrame, key: str, size: Column, dims: list[str], names: list[str]) -> DataFrame:
+    """(id, bytes, d0, ...) of each document; null dimensions are still null."""
+    kinds, strings = dict(docs.dtypes), {}
+    columns = []
+    for d, n in zip(dims, names):
+        if kinds[d] == "string":
+            strings[n] = d
+        columns.append((F.col(f"`{d}`") if kinds[d] == "string" else F.col(f"`{d}`").cast("long")).alias(n))
+    rows = docs.select(F.col(key).cast("long").alias("id"), size.alias("bytes"), *columns)
+    for n, d in strings.items():
+        values, count = ranked(docs, d, "rank")
+        rows = rows.join(small(values, count), F.col(n) == F.col("rankv"), "left").withColumn(n, F.col("rank")).drop("rank", "rankv")
+    return rows.select("id", "bytes", *names)
 
 
 def bounds(df: DataFrame, by: list[str], dims: list[str]) -> list:
@@ -49,7 +73,8 @@ def medians(rows: DataFrame, nodes: dict[int, tuple[str, int, int]], spark: Spar
     while open_:
         asked = spark.createDataFrame([(k, d, lo, hi, -(-(hi - lo + 1) // BINS), under, total) for k, (d, lo, hi, under, total) in open_.items()], "node long, dim string, lo long, hi long, step long, under long, total long")
         hit = rows.join(small(asked, len(open_)), "node").withColumn("v", value).where("v BETWEEN lo AND hi")
-        bins = hit.groupBy("node", "under", "total", F.expr("(v - lo) div step").alias("bin")).agg(F.sum("bytes").alias("w"), F.min("v").alias("least"), F.max("v").alias("most"))
+        # v - lo could exceed 64 bits; the bin around zero is twice as wide, which the next round makes good
+        bins = hit.groupBy("node", "under", "total", F.expr("v div step").alias("bin")).agg(F.sum("bytes").alias("w"), F.min("v").alias("least"), F.max("v").alias("most"))
         cum = bins.withColumn("upto", F.col("under") + F.sum("w").over(run.orderBy("bin"))).withColumn("all", F.when(F.col("total") < 0, F.sum("w").over(run)).otherwise(F.col("total")))
         for r in cum.where("upto * 2 >= all").groupBy("node").agg(F.min_by(F.struct("w", "upto", "all", "least", "most"), "bin").alias("m")).select("node", "m.*").collect():
             k, at, upto, under = r["node"], r["least"], r["upto"], r["upto"] - r["w"]
@@ -68,7 +93,10 @@ def shards(docs: DataFrame, dims: list[str], target: int = TARGET, key: str = "d
     spark = docs.sparkSession
     names = [f"d{i}" for i in range(len(dims))]
     size = F.greatest(F.coalesce(F.octet_length(F.col(text)), F.lit(0)), F.lit(1)).cast("long")
-    rows = cut(docs.select(F.col(key).cast("long").alias("id"), size.alias("bytes"), *[ordinal(docs, d).alias(n) for d, n in zip(dims, names)]))
+    rows = cut(measured(docs, key, size, dims, names))
+    least = rows.agg(*[F.min(n).alias(n) for n in names]).first()
+    null = {n: 0 if least[n] is None else max(LEAST, least[n] - 1) for n in names}
+    rows = rows.select("id", "bytes", *[F.coalesce(F.col(n), F.lit(null[n]).cast("long")).alias(n) for n in names])
     whole = bounds(rows, [], names)[0]
     if whole["bytes"] is None:
         return rows.select(F.col("id").alias(key), "bytes", F.lit(0).alias("shard"))

@@ -64,6 +64,20 @@ def test_shards_match_brute_force(spark):
     assert [sorted(i for i in got if got[i] == s) for s in range(len(want))] == [sorted(x) for x in want]
 
 
+def test_shards_tell_long_prefixes_and_wide_integers_apart(spark):
+    r = random.Random(12)
+    sources = [f"https://common_crawl_{x}" for x in "abcdefghijk"] + [None, "ü" * 5, "https:/"]
+    hashes = [r.randrange(-(2**63), 2**63) for _ in range(200)] + [2**63 - 1, 2**63 - 2, -(2**63), 1 - 2**63]
+    data = [(h, "y" * r.choice([0, 3, 50, 400]), r.choice(sources[:2] + sources), r.choice([None, 2, 2, 3])) for h in hashes]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, b long").repartition(3)
+    place = {s: i for i, s in enumerate(sorted({d[2] for d in data if d[2] is not None}, key=str.encode))} | {None: -1}
+    for dims, values in ((["source", "b", "doc_id"], lambda d: (place[d[2]], 1 if d[3] is None else d[3], d[0])), (["source"], lambda d: (place[d[2]],)), (["doc_id"], lambda d: (d[0],))):
+        got = {x.doc_id: x.shard for x in sharding.shards(df, dims, 1500).collect()}
+        want = brute_shards([(max(1, len(d[1])), values(d)) for d in data], 1500)
+        assert len(want) > 5
+        assert [sorted(i for i in got if got[i] == s) for s in range(len(want))] == [sorted(data[i][0] for i in x) for x in want]
+
+
 def test_shards_of_hard_rows(hard, empty):
     out = sharding.shards(hard, ["lang", "source", "n_chars", "doc_id"], 10_000).collect()
     assert len(out) == len(hard_rows())
