@@ -2,8 +2,13 @@
 
 A token's probability is factored: its class given the history, then the word within the class. Both are log-linear in
 hashed features of the history: the token before, the two before as an n-gram, and the token two back as a skip (the
-class); the token before with the class, and the class alone (the word). Words are classed by frequency rank, counted over the whole corpus; words past the vocabulary share a last class of hashed
-slots, each spread evenly over the types that fall there, so the probabilities of all observed types sum to 1.
+class); the token before with the class, and the class alone (the word). Words are classed by frequency rank, counted
+over the whole corpus; words past the classed ones share a last class of hashed slots. Within such a slot every word has
+its own probability, n / (N + 1), from its count n and the slot's N over the whole corpus; what is left, 1 / (N + 1), is
+for words that the corpus doesn't have. Counts of the ``KNOWN`` most frequent words travel to the workers, those of all
+others stay in a distributed table that documents' remaining words are joined to, so no word is without its count.
+
+The tables of weights have a power of two of rows, ``ROWS`` times the root of the corpus's number of tokens at least.
 
 Training is one epoch in ``ROUNDS`` synchronised parts: in each, every partition takes gradient steps on its slices
 of text, starting from the shared weights, and sends the rows of weights that it touched; rows are averaged by how often
@@ -29,8 +34,11 @@ from lamina.llm.textnp import mix, tokens
 from lamina.runtime import cut, table
 
 CLASSES, SLOTS = 32, 32
-#: Rows of the tables of class and word weights, as powers of two.
+#: Rows of the tables of class and word weights, as powers of two, at least; and per root of the number of tokens.
 CLASS_BITS, WORD_BITS = 14, 14
+ROWS = 2
+#: Words whose counts travel to the workers; the others' are joined.
+KNOWN = 1 << 18
 ROUNDS, BATCH, RATE, CLIP = 2, 4096, 0.25, 12.0
 #: Rows of weights that travel together, and bytes of a slice of text.
 BLOCK, SLICE = 1024, 1 << 20
@@ -40,15 +48,26 @@ ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B1
 
 
 class Model:
-    """Vocabulary and weights. ``types`` counts the distinct words that are not in the vocabulary."""
+    """Vocabulary and weights. ``types`` counts the distinct words that are not in the vocabulary.
+
+    known, known_n: sorted hashes and counts of frequent words; slot_n: occurrences in each slot of the last class;
+    rest: (h, n) of words that occur more than once and are not known, or None.
+    """
 
-    def __init__(self, vocabulary: list[int], types: int):
+    def __init__(self, vocabulary: list[int], types: int, known: dict[int, int] | None = None, slot_n: np.ndarray | None = None, total: int = 0, rest: DataFrame | None = None):
         order = np.argsort(np.array(vocabulary, np.uint64))
         self.words = np.array(vocabulary, np.uint64)[order]
         self.rank = order.astype(np.int32)
         self.spread = float(np.log(max(1.0, types / SLOTS)))
-        self.cw = np.zeros((1 << CLASS_BITS, CLASSES), np.float32)
-        self.ww = np.zeros((1 << WORD_BITS, SLOTS), np.float32)
+        known = known or {}
+        self.known = np.array(sorted(known), np.uint64)
+        self.known_n = np.array([known[h] for h in sorted(known)], np.float64)
+        self.slot_n = np.zeros(SLOTS) if slot_n is None else slot_n
+        self.rest = rest
+        grown = int(np.ceil(np.log2(max(1.0, ROWS * total**0.5))))
+        self.class_bits, self.word_bits = max(CLASS_BITS, grown), max(WORD_BITS, grown)
+        self.cw = np.zeros((1 << self.class_bits, CLASSES), np.float32)
+        self.ww = np.zeros((1 << self.word_bits, SLOTS), np.float32)
         self.wb = np.zeros((CLASSES, SLOTS), np.float32)
         self.wb[:-1][np.arange((CLASSES - 1) * SLOTS).reshape(-1, SLOTS) >= len(vocabulary)] = -30
         self.squares = [np.full(len(x), 1.0, np.float32) for x in (self.cw, self.ww, self.wb)]
@@ -58,7 +77,7 @@ class Model:
 
     def state(self) -> dict:
         """Plain arrays, which travel to workers that don't have this package."""
-        return dict(self.__dict__)
+        return {k: v for k, v in self.__dict__.items() if k != "rest"}
 
     @classmethod
     def of(cls, state: dict) -> Model:
@@ -84,14 +103,28 @@ class Model:
             p[i:] = np.where(doc[i:] == doc[:-i], h[:-i], np.uint64(0))
             back.append(p)
         a, b = back[0] * ODD[0], back[1] * ODD[1]
-        top = np.uint64(64 - CLASS_BITS)
+        top = np.uint64(64 - self.class_bits)
         rows = [(mix(x) >> top).astype(np.int64) for x in (a + ODD[3], a ^ b, b + ODD[3])]
         ids = self.ids(h)
         k = (ids // SLOTS).astype(np.uint64) * ODD[3]
-        top = np.uint64(64 - WORD_BITS)
+        top = np.uint64(64 - self.word_bits)
         inner = [(mix(x) >> top).astype(np.int64) for x in (a + k,)]
         return rows, inner, ids
 
+    def counted(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each token's own count adds to ``step``, which spreads slots of the last class evenly; and which tokens
+        need a count from ``rest``, whose logarithm is still to be added."""
+        last = np.flatnonzero(ids // SLOTS == CLASSES - 1)
+        own, asked, n = np.zeros(len(h)), np.zeros(len(h), bool), np.ones(len(last))
+        asked[last] = True
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, h[last]), len(self.known) - 1)
+            found = self.known[at] == h[last]
+            n = np.where(found, self.known_n[at], 1.0)
+            asked[last[found]] = False
+        own[last] = self.spread + np.log(n) - np.log(self.slot_n[ids[last] % SLOTS] + 1)
+        return own, asked
+
     def chunks(self, rows: list[np.ndarray], inner: list[np.ndarray], ids: np.ndarray, size: int):
         for at in range(0, len(ids), size):
             yield [r[at : at + size] for r in rows], [r[at : at + size] for r in inner], ids[at : at + size]
@@ -122,9 +155,13 @@ class Model:
         y[n, ids % SLOTS] -= 1
         for t, (w, ats, g) in enumerate(((self.cw, rows, z), (self.ww, inner, y), (self.wb, [k], y))):
             for at in ats:
-                key = at.astype(np.uint16)  # sorts by radix
-                order = np.argsort(key, kind="stable")
-                key = key[order]
+                if len(w) <= 1 << 16:
+                    key = at.astype(np.uint16)  # sorts by radix
+                    order = np.argsort(key, kind="stable")
+                    key = key[order]
+                else:  # row and place in one integer sort faster than places by row
+                    key = np.sort(at << 32 | n)
+                    order, key = key & 0xFFFFFFFF, key >> 32
                 starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
                 row, count = key[starts], np.diff(starts, append=len(key))
                 grad = np.add.reduceat(g.take(order, 0), starts, axis=0)
@@ -149,8 +186,18 @@ def vocabulary(docs: DataFrame) -> Model:
 
     words = cut(docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     most = (CLASSES - 1) * SLOTS
-    top = words.orderBy(F.desc("n"), "h").limit(most).collect()
-    return Model([r["h"] % 2**64 for r in top], max(0, words.count() - len(top)))
+    slot = F.shiftrightunsigned("h", 40) % SLOTS
+    slots = words.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
+    top = words.orderBy(F.desc("n"), "h").limit(max(most, KNOWN)).toArrow()
+    known = list(zip(top["h"].to_numpy().view(np.uint64).tolist(), top["n"].to_pylist()))
+    types, total, slot_n = sum(r["types"] for r in slots), sum(r["n"] for r in slots), np.zeros(SLOTS)
+    for r in slots:
+        slot_n[r["slot"]] = r["n"]
+    for h, n in known[:most]:
+        slot_n[(h >> 40) % SLOTS] -= n
+    # words as frequent as the last known one may be among the known or not; a join of known words finds nothing to add
+    rest = words.where((F.col("n") > 1) & (F.col("n") <= known[-1][1])) if types > len(known) else None
+    return Model([h for h, _ in known[:most]], types - min(most, len(known)), dict(known), slot_n, total, rest)
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -217,6 +264,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, logprob, bits_per_token) of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(model.state())
+    joined = model.rest is not None
 
     def run(batches):
         m = Model.of(shared.value)
@@ -225,14 +273,22 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 part = b.slice(start, length)
                 h, _, offsets = tokens(part.column(1))
                 rows, inner, ids = m.examples(h, offsets)
+                own, asked = m.counted(h, ids)
                 each = [m.step(*x)[0] for x in m.chunks(rows, inner, ids, 4096)]
-                total = np.concatenate([[0.0], np.cumsum(np.concatenate(each), dtype=np.float64)]) if each else np.zeros(1)
+                total = np.concatenate([[0.0], np.cumsum(np.concatenate(each) + own, dtype=np.float64)]) if each else np.zeros(1)
                 n = np.diff(offsets)
                 sums = total[offsets[1:]] - total[offsets[:-1]]
-                none = n == 0
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(sums, mask=none), pa.array(-sums / np.maximum(n, 1) / np.log(2), mask=none)], ["doc_id", "n_tokens", "logprob", "bits_per_token"])
-
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, logprob double, bits_per_token double")
+                before = np.concatenate([[0], np.cumsum(asked & joined)])[offsets]
+                rest = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(h[asked & joined].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(sums, mask=n == 0), rest], ["doc_id", "n_tokens", "logprob", "rest"])
+
+    out = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, logprob double, rest array<long>")
+    if joined:
+        out = cut(out.withColumn("row", F.monotonically_increasing_id()))
+        asked = out.select("row", F.explode("rest").alias("h")).join(model.rest, "h")
+        out = out.drop("rest").join(asked.groupBy("row").agg(F.sum(F.log(F.col("n").cast("double"))).alias("more")), "row", "left")
+        out = out.withColumn("logprob", F.col("logprob") + F.coalesce("more", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "logprob", (-F.col("logprob") / F.greatest(F.col("n_tokens"), F.lit(1)) / F.lit(float(np.log(2)))).alias("bits_per_token"))
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

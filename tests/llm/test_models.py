@@ -115,6 +115,50 @@ def test_language_model_matches_a_slow_loop_and_sums_to_one(language):
     assert abs((np.exp(z) / np.exp(z).sum()).sum() - 1) < 1e-6
 
 
+def test_language_model_counts_every_word(spark, monkeypatch):
+    r = random.Random(9)
+    words = [f"w{i}x" for i in range(6000)]
+    texts = [" ".join(r.choices(words, [1 / (i + 3) for i in range(6000)], k=300)) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    n = {}
+    for t in texts:
+        for w in t.split():
+            n[w] = n.get(w, 0) + 1
+    hashes = dict(zip(n, tokens(pa.array([" ".join(n)]))[0].tolist()))
+    probe = ["zzunheardof", *sorted(n, key=lambda w: (n[w], w))[:: len(n) // 40], *texts[:20]]
+    asked = spark.createDataFrame(list(enumerate(probe)), "doc_id long, text string")
+    got = []
+    for known in (1, 1 << 18):  # most counts are joined; all are at hand
+        monkeypatch.setattr(lm, "KNOWN", known)
+        model = lm.vocabulary(docs)
+        assert (model.rest is None) == (known > 1) and len(n) > 3 * len(model.words)
+        got.append({x.doc_id: x.logprob for x in lm.scored(asked, model).collect()})
+    assert len(got[0]) == len(probe) and all(abs(got[0][i] - got[1][i]) < 1e-6 * max(1, abs(got[0][i])) for i in got[0])
+    classed, slots = set(model.words.tolist()), np.zeros(lm.SLOTS)
+    for w in n:
+        if hashes[w] not in classed:
+            slots[(hashes[w] >> 40) % lm.SLOTS] += n[w]
+    assert (slots == model.slot_n).all()
+    for i, w in enumerate(probe[:40]):  # without weights all classes and all slots of a class are alike
+        h = tokens(pa.array([w]))[0]
+        if int(h[0]) not in classed:
+            want = -np.log(lm.CLASSES * lm.SLOTS) + np.log(n.get(w, 1)) - np.log(slots[(int(h[0]) >> 40) % lm.SLOTS] + 1)
+            assert abs(got[0][i] - want) < 1e-4
+
+
+def test_language_model_tables_grow_with_the_corpus():
+    small, large = lm.Model([], 0, total=10**6), lm.Model([], 0, total=10**10)
+    assert len(small.cw) == len(small.ww) == 1 << 14 and len(large.cw) == len(large.ww) == 1 << 18
+    r = np.random.default_rng(1)  # both ways of sorting rows learn the same
+    h = r.integers(0, 50, 3000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    part = large.examples(h, np.array([0, 3000]))
+    used = [np.zeros(len(t), np.float32) for t in large.tables()]
+    before = large.step(*part)[0].mean()
+    for _ in range(20):
+        large.learn(*part, used)
+    assert large.step(*part)[0].mean() > before and all(u.sum() % 3000 == 0 and u.sum() > 0 for u in used)
+
+
 def test_language_model_hard_rows(spark, hard, empty):
     model = lm.train(hard)
     got = lm.scored(hard, model).collect()
