@@ -4,7 +4,9 @@ import pytest
 
 #: Names that operators might use inside.
 EXTRA = ["_sim_id", "_sim_th", "_mix_key", "_mix_k", "_verdict", "n", "key", "fp", "th", "id", "bucket", "copies", "rate", "node", "bytes", "shard", "pos", "line", "rows", "h1", "_payload", "p0"]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in EXTRA)
+EXTRA += ["_id", "_y", "y", "f", "a", "b", "m", "g", "root", "size", "first", "cell", "task", "row", "i", "key1", "h", "v", "d0", "dim", "at", "bin", "a.b", "Text2"]
+NESTED = "`map` map<string,int>, `nest` struct<x:int,doc_id:long,m:map<string,string>>, `blob` binary"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in EXTRA) + ", " + NESTED
 WORDS = "river stone letter garden winter market silver window paper mountain signal copper harbour meadow lantern bridge orchard thunder velvet compass pepper anchor marble candle feather".split()
 
 
@@ -35,7 +37,8 @@ def hard_rows() -> list[tuple]:
         (-5, prose(r, 20) + "\nshared line of text here\n" + prose(r, 20), "en", "web", 1),
         (11, "shared line of text here\n" + prose(r, 25), "en", "web", 1),
     ]
-    return [row + tuple(None if i % 5 == k % 5 else "e" for k in range(len(EXTRA))) for i, row in enumerate(body)]
+    nested = [None, ({"a": 1}, (1, 2, {"x": "y"}), b"\xff"), ({}, None, b""), ({"a": None}, (None, None, None), None)]
+    return [row + tuple(None if i % 5 == k % 5 else "e" for k in range(len(EXTRA))) + (nested[i % 4] or (None,) * 3) for i, row in enumerate(body)]
 
 
 @pytest.fixture(scope="session")
