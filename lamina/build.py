@@ -281,7 +281,7 @@ def run_statement(work: WorkingCopy, sql: str, extra: dict | None = None) -> Non
         work.insert(table, given.select(*[(F.col(f"`{f.name}`") if f.name in given.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds.fields]))
     elif m := re.fullmatch(rf"\s*UPDATE\s+{name}\s+SET\s+(.*)", sql, re.S | re.I):
         table = clean(m[1])
-        sets, where = _set_list(m[2])
+        sets, where = sqlguard.set_list(m[2])
         schema = work._staged(table).schema
         unknown = set(sets) - {c.name for c in schema}
         if unknown:
@@ -318,26 +318,6 @@ def run_statement(work: WorkingCopy, sql: str, extra: dict | None = None) -> Non
         raise BuildError(f"can't run {sql[:80]!r}")
 
 
-def _set_list(text: str) -> tuple[dict[str, str], str]:
-    """Assignments and condition of an UPDATE, cut at top-level commas and WHERE."""
-    parts, depth, where = [[]], 0, None
-    tokens = sqlguard.lex(text)
-    for i, (kind, t) in enumerate(tokens):
-        depth += (t == "(") - (t == ")")
-        if not depth and kind == "word" and t.lower() == "where":
-            where = sqlguard.text_of(tokens[i + 1 :]).strip()
-            break
-        if not depth and t == ",":
-            parts.append([])
-        else:
-            parts[-1].append((kind, t))
-    sets = {}
-    for p in parts:
-        left, _, right = sqlguard.text_of(p).partition("=")
-        sets[left.strip().strip('"`')] = right.strip()
-    return sets, where or "true"
-
-
 def column_list(text: str) -> Schema:
     """Columns of a CREATE TABLE: name, type, PRIMARY KEY by column or as a clause."""
     items, depth, held = [], 0, ""

@@ -64,10 +64,106 @@ SHARED: dict[str, str] = {
 }
 
 
+_J = """'{"a": {"b": ' || c_custkey || ', "c": [1, ' || c_nationkey || ']}, "d": "x' || c_nationkey || '", "e": null}'"""
+_K = "(SELECT c_custkey AS k, nullif(c_nationkey, 3) AS v FROM customer)"
+#: PostgreSQL's own forms, and what the other engine calls the same.
+FORMS: dict[str, tuple[str, str]] = {
+    "pg_int_division": (
+        "SELECT l_orderkey, l_linenumber, l_partkey / 7 AS q, -l_partkey / 7 AS negative, l_partkey / 2 / 3 AS chain, (l_partkey + 1) / l_linenumber * 2 AS mixed, l_quantity / 4 AS part, l_partkey / 4.0 AS decimal_part FROM lineitem",
+        "SELECT l_orderkey, l_linenumber, CAST(l_partkey // 7 AS BIGINT) AS q, CAST(-(l_partkey // 7) AS BIGINT) AS negative, CAST(l_partkey // 2 // 3 AS BIGINT) AS chain, CAST((l_partkey + 1) // l_linenumber * 2 AS BIGINT) AS mixed, l_quantity / 4 AS part, CAST(l_partkey / 4.0 AS DOUBLE) AS decimal_part FROM lineitem",
+    ),
+    "pg_int_division_of_aggregates": (
+        "SELECT o_custkey, sum(o_orderkey) / count(*) AS mean, max(o_orderkey) / 2 AS half FROM orders GROUP BY o_custkey HAVING count(*) / 2 > 3",
+        "SELECT o_custkey, CAST(sum(o_orderkey) // count(*) AS BIGINT) AS mean, CAST(max(o_orderkey) // 2 AS BIGINT) AS half FROM orders GROUP BY o_custkey HAVING count(*) // 2 > 3",
+    ),
+    "pg_substring": (
+        "SELECT c_custkey, substring(c_name from 0 for 6) AS a, substring(c_name from 3) AS b, substring(c_name, -1, 5) AS c, substring(c_name for 4) AS d, substring(c_name from c_nationkey for 3) AS e FROM customer",
+        "SELECT c_custkey, substr(c_name, 1, 5) AS a, substr(c_name, 3) AS b, substr(c_name, 1, 3) AS c, substr(c_name, 1, 4) AS d, substr(c_name, greatest(1, c_nationkey), CASE WHEN c_nationkey = 0 THEN 2 ELSE 3 END) AS e FROM customer",
+    ),
+    "pg_substring_regex": (
+        "SELECT c_custkey, substring(c_name from '#0*([1-9][0-9]*)') AS number, substring(c_name from '[A-Z][a-z]+') AS word, substring(c_name from 'nothing') AS nothing FROM customer",
+        "SELECT c_custkey, nullif(regexp_extract(c_name, '#0*([1-9][0-9]*)', 1), '') AS number, nullif(regexp_extract(c_name, '[A-Z][a-z]+', 0), '') AS word, CAST(NULL AS VARCHAR) AS nothing FROM customer",
+    ),
+    "pg_regexp_replace": (
+        "SELECT o_orderkey, regexp_replace(o_orderpriority, '([0-9])-([A-Z]+)', '\\2\\1') AS swapped, regexp_replace(o_orderpriority, '[A-Z]', 'x') AS one, regexp_replace(o_orderpriority, '[a-z]', '$', 'gi') AS every FROM orders",
+        "SELECT o_orderkey, regexp_replace(o_orderpriority, '([0-9])-([A-Z]+)', '\\2\\1') AS swapped, regexp_replace(o_orderpriority, '[A-Z]', 'x') AS one, regexp_replace(o_orderpriority, '[A-Za-z]', '$', 'g') AS every FROM orders",
+    ),
+    "pg_regex_match": (
+        "SELECT o_orderkey FROM orders WHERE o_orderpriority ~ '^[12]-' AND o_orderpriority !~ 'HIGH$' AND o_orderpriority ~* 'urgent|high' AND o_orderstatus !~~ 'P%'",
+        "SELECT o_orderkey FROM orders WHERE regexp_matches(o_orderpriority, '^[12]-') AND NOT regexp_matches(o_orderpriority, 'HIGH$') AND regexp_matches(lower(o_orderpriority), 'urgent|high') AND o_orderstatus NOT LIKE 'P%'",
+    ),
+    "pg_to_char": (
+        "SELECT o_orderkey, to_char(o_orderdate, 'YYYY-MM-DD HH24:MI') AS stamp, to_char(o_orderdate, 'YYYYMM') AS month, to_char(o_orderdate, 'FMMonth DD, YYYY') AS long, to_char(o_orderdate, 'DY') AS day FROM orders",
+        "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS stamp, strftime(o_orderdate, '%Y%m') AS month, strftime(o_orderdate, '%B %d, %Y') AS long, upper(strftime(o_orderdate, '%a')) AS day FROM orders",
+    ),
+    "pg_distinct_on": (
+        f"SELECT DISTINCT ON (v) v, k, k % 7 AS m FROM {_K} t WHERE k > 3 ORDER BY v, k % 7 DESC, k",
+        f"SELECT DISTINCT ON (v) v, k, k % 7 AS m FROM {_K} t WHERE k > 3 ORDER BY v NULLS LAST, k % 7 DESC, k",
+    ),
+    "pg_nulls_last": (f"SELECT k, v FROM {_K} t WHERE v IS NULL OR v > 23 ORDER BY v, k DESC LIMIT 90", f"SELECT k, v FROM {_K} t WHERE v IS NULL OR v > 23 ORDER BY v NULLS LAST, k DESC LIMIT 90"),
+    "pg_nulls_first": (f"SELECT k, v FROM {_K} t ORDER BY v DESC, k LIMIT 20", f"SELECT k, v FROM {_K} t ORDER BY v DESC NULLS FIRST, k LIMIT 20"),
+    "pg_nulls_in_windows": (
+        f"SELECT k, CAST(row_number() OVER (ORDER BY v, k) AS BIGINT) AS up, CAST(row_number() OVER (ORDER BY v DESC, k) AS BIGINT) AS down FROM {_K} t",
+        f"SELECT k, CAST(row_number() OVER (ORDER BY v NULLS LAST, k) AS BIGINT) AS up, CAST(row_number() OVER (ORDER BY v DESC NULLS FIRST, k) AS BIGINT) AS down FROM {_K} t",
+    ),
+    "pg_casts": (
+        "SELECT c_custkey, c_acctbal::int AS whole, (c_custkey / 2.0)::numeric(10,1)::bigint AS half, c_custkey::text || '!' AS t, '12'::int4 + 1 AS i, c_nationkey::float8 AS f FROM customer",
+        "SELECT c_custkey, CAST(round_even(c_acctbal, 0) AS INTEGER) AS whole, CAST((c_custkey + 1) // 2 AS BIGINT) AS half, CAST(c_custkey AS VARCHAR) || '!' AS t, 13 AS i, CAST(c_nationkey AS DOUBLE) AS f FROM customer",
+    ),
+    "pg_json": (
+        f"SELECT k, j->'a'->>'b' AS b, j->'a'->'c'->>1 AS c, j #>> '{{a,c,0}}' AS z, j->>'d' AS d, j->>'e' IS NULL AS e, j @> '{{\"d\": \"x3\"}}' AS three FROM (SELECT c_custkey AS k, {_J} AS j FROM customer) t WHERE (j->>'d') <> 'x1'",
+        f"SELECT k, CAST(k AS VARCHAR) AS b, CAST(v AS VARCHAR) AS c, '1' AS z, 'x' || v AS d, true AS e, v = 3 AS three FROM (SELECT c_custkey AS k, c_nationkey AS v FROM customer) t WHERE v <> 1",
+    ),
+    "pg_json_aggregate": (
+        "SELECT n_regionkey, json_object_agg(n_name, n_nationkey) AS nations, json_agg(n_nationkey ORDER BY n_nationkey DESC) AS keys FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey, '{' || string_agg('\"' || n_name || '\":' || n_nationkey, ',' ORDER BY n_name) || '}' AS nations, '[' || string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey DESC) || ']' AS keys FROM nation GROUP BY n_regionkey",
+    ),
+    "pg_ordered_aggregates": (
+        "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name DESC) AS names, array_agg(n_nationkey ORDER BY n_name) AS keys, percentile_cont(0.5) WITHIN GROUP (ORDER BY n_nationkey) AS middle FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name DESC) AS names, list(n_nationkey ORDER BY n_name) AS keys, CAST(quantile_cont(n_nationkey, 0.5) AS DOUBLE) AS middle FROM nation GROUP BY n_regionkey",
+    ),
+    "pg_arrays": (
+        "SELECT n_nationkey, (ARRAY[n_nationkey, n_regionkey])[2] AS second, array_length(ARRAY[1, 2, 3], 1) AS three, array_to_string(string_to_array(n_name, 'A'), '-') AS dashed, n_regionkey <> ALL(ARRAY[1, 2]) AS outside, ARRAY[n_regionkey] <@ ARRAY[0, 1, 4] AS inside FROM nation WHERE n_name = ANY('{CHINA,INDIA,JAPAN,BRAZIL}') OR n_nationkey > 20",
+        "SELECT n_nationkey, n_regionkey AS second, 3 AS three, replace(n_name, 'A', '-') AS dashed, n_regionkey NOT IN (1, 2) AS outside, n_regionkey IN (0, 1, 4) AS inside FROM nation WHERE n_name IN ('CHINA', 'INDIA', 'JAPAN', 'BRAZIL') OR n_nationkey > 20",
+    ),
+    "pg_bytes": (
+        "SELECT n_nationkey, encode(digest(n_name, 'sha256'), 'hex') AS sha, get_byte(digest(n_name, 'sha256'), 0) AS first, md5(n_name) AS md5, position('A' in n_name) AS at, strpos(n_name, 'IN') AS there FROM nation",
+        "SELECT n_nationkey, sha256(n_name) AS sha, CAST('0x' || substr(sha256(n_name), 1, 2) AS INTEGER) AS first, md5(n_name) AS md5, CAST(instr(n_name, 'A') AS INTEGER) AS at, CAST(instr(n_name, 'IN') AS INTEGER) AS there FROM nation",
+    ),
+    "pg_dates": (
+        "SELECT o_orderkey, extract(epoch from o_orderdate) AS epoch, extract(dow from o_orderdate) AS dow, date_part('year', o_orderdate) AS y, date_trunc('month', o_orderdate) AS month, o_orderdate + INTERVAL '2 days' AS later FROM orders",
+        "SELECT o_orderkey, CAST(epoch(o_orderdate) AS DOUBLE) AS epoch, CAST(dayofweek(o_orderdate) AS INTEGER) AS dow, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month, o_orderdate + INTERVAL '2 days' AS later FROM orders",
+    ),
+    "pg_all_of_subquery": (
+        "SELECT c_custkey FROM customer WHERE c_nationkey = ANY(SELECT n_nationkey FROM nation WHERE n_regionkey = 2) AND c_custkey <> ALL(SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
+        "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
+    ),
+    "group_by_alias": (
+        "SELECT c_nationkey % 5 AS bucket, c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY bucket, segment",
+        "SELECT c_nationkey % 5 AS bucket, c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1, 2",
+    ),
+    "lateral_join": (
+        "SELECT n.n_name, t.c_custkey, t.c_acctbal FROM nation n CROSS JOIN LATERAL (SELECT c_custkey, c_acctbal FROM customer c WHERE c.c_nationkey = n.n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 3) t",
+        "SELECT n_name, c_custkey, c_acctbal FROM (SELECT n_name, c_custkey, c_acctbal, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM nation JOIN customer ON c_nationkey = n_nationkey) t WHERE r <= 3",
+    ),
+    "math_functions": (
+        "SELECT p_partkey, abs(p_size - 20) AS a, power(p_size, 2) AS b, floor(p_retailprice) AS c, ceil(p_retailprice) AS d, round(sqrt(p_size), 6) AS e, mod(p_partkey, 7) AS f, sign(p_size - 20) AS g, greatest(p_size, 10) AS h, round(ln(p_size), 6) AS i FROM part",
+        "SELECT p_partkey, abs(p_size - 20) AS a, power(p_size, 2) AS b, CAST(floor(p_retailprice) AS BIGINT) AS c, CAST(ceil(p_retailprice) AS BIGINT) AS d, round(sqrt(p_size), 6) AS e, mod(p_partkey, 7) AS f, CAST(sign(p_size - 20) AS DOUBLE) AS g, greatest(p_size, 10) AS h, round(ln(p_size), 6) AS i FROM part",
+    ),
+    "concat_functions": (
+        "SELECT c_custkey, c_name || '/' || c_mktsegment AS a, concat(c_name, '-', c_custkey) AS b, concat_ws('|', c_mktsegment, c_name) AS c, upper(left(c_name, 3)) AS d, right(c_name, 2) AS e, split_part(c_name, '#', 2) AS f, initcap(lower(c_mktsegment)) AS g, length(trim(c_name)) AS h FROM customer",
+        "SELECT c_custkey, c_name || '/' || c_mktsegment AS a, c_name || '-' || c_custkey AS b, c_mktsegment || '|' || c_name AS c, upper(left(c_name, 3)) AS d, right(c_name, 2) AS e, split_part(c_name, '#', 2) AS f, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS g, CAST(length(trim(c_name)) AS INTEGER) AS h FROM customer",
+    ),
+}
+
+
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return run_sql(spark, sql, {t: (lambda t=t: table(spark, sf_dir, t)) for t in TABLES})
 
 
 QUERIES = {name: (lambda spark, sf_dir, sql=sql: run(spark, sf_dir, sql)) for name, sql in SHARED.items()}
 ORACLES = {name: sql for name, sql in SHARED.items()}
+for _name, (_sql, _other) in FORMS.items():
+    QUERIES[_name] = lambda spark, sf_dir, sql=_sql: run(spark, sf_dir, sql)
+    ORACLES[_name] = _other
 ORACLES["array_any"] = "SELECT n_nationkey FROM nation WHERE n_nationkey IN (1, 2, 3)"

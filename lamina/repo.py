@@ -16,7 +16,8 @@ from lamina.catalog import HEAD, ROOT, Catalog, Image, Images, TableVersion, now
 from lamina.fragments import CHUNK, reindex, write_base, write_patch
 from lamina.quals import Quals
 from lamina.scan import TableScan
-from lamina.sqlguard import ported, relations
+from lamina.dialect import settled
+from lamina.sqlguard import ForbiddenSQL, relations
 from lamina.store import NotFound
 from lamina.types import Schema, compatible, dumps, schema_of, struct_of
 
@@ -461,19 +462,27 @@ def copy_objects(source: Catalog, target: Catalog, ids, overwrite: bool = False)
 
 
 def run_sql(spark: SparkSession, query: str, tables: dict) -> DataFrame:
-    """SELECT over named tables without names in the session's catalog: each is a leading common table expression.
+    """SELECT in PostgreSQL's dialect over named tables without names in the session's catalog.
 
-    tables: name to a function that gives its DataFrame; only those that the query names are made.
+    tables: name to a function that gives its DataFrame; only those that the query names are made. Each becomes a
+    leading common table expression. Nothing else can be read: a name that isn't among them is refused, whatever the
+    session's own catalog has.
     """
-    used = {r[0] for r in relations(spark, query) if len(r) == 1 and r[0] in tables}
+    used: dict[str, str] = {}
+    for r in relations(spark, query):
+        name = r[0] if len(r) == 1 else ".".join(r)
+        known = name if name in tables else name.lower() if name.lower() in tables else None
+        if len(r) > 1 or known is None:
+            raise ForbiddenSQL(f"no table {name}; there are {', '.join(sorted(tables)) or 'none'}")
+        used[name] = known
     views = {name: f"v_{uuid.uuid4().hex}" for name in sorted(used)}
     try:
         for name, view in views.items():
-            tables[name]().createOrReplaceTempView(view)
-        text = ported(query).strip().rstrip(";")
+            tables[used[name]]().createOrReplaceTempView(view)
+        text = query.strip().rstrip(";")
         if views:
             text = "WITH " + ", ".join(f"`{n}` AS (SELECT * FROM {v})" for n, v in views.items()) + f" ({text}\n)"
-        out = spark.sql(text)
+        out = spark.sql(settled(spark, text))
         out.schema  # analysed now, while the views stand; the plan keeps what they meant
         return out
     finally:

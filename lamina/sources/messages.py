@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.repo import Repository
@@ -51,10 +51,15 @@ def columns_of(body: str, fields: dict[str, tuple[tuple[str, ...], str]]) -> lis
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, type, stream, message): lines in order of file and place."""
-    raw = spark.read.text(path).where(F.trim("value") != "")
-    order = F.monotonically_increasing_id()
-    return raw.select(order.alias("seq"), F.get_json_object("value", "$.type").alias("type"), F.get_json_object("value", "$.stream").alias("stream"), F.col("value").alias("message"))
+    """(seq, type, stream, message): lines in order of file name and place in the file.
+
+    A row's number within its partition tells rows of one split apart; splits are told apart by file and first byte,
+    since Spark packs files into partitions by size.
+    """
+    raw = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    seq = F.struct(F.col("file_path").alias("file"), F.col("file_block_start").alias("start"), "row")
+    raw = raw.where(F.trim("value") != "")
+    return raw.select(seq.alias("seq"), F.get_json_object("value", "$.type").alias("type"), F.get_json_object("value", "$.stream").alias("stream"), F.col("value").alias("message"))
 
 
 def load_messages(repo: Repository, path: str, delete_column: str | None = "_sdc_removed_at", levels: int = 10) -> str:
@@ -79,7 +84,10 @@ def load_messages(repo: Repository, path: str, delete_column: str | None = "_sdc
         gone = F.get_json_object("body", f"$.{delete_column}").isNotNull() if delete_column else F.lit(False)
         rows = records.select("seq", gone.alias("_gone"), *columns_of("body", fields))
         if keys:
-            rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("seq")))).where("_n = 1").drop("_n")
+            # a key with many records is aggregated before it moves
+            rest = [c for c in rows.columns if c not in keys]
+            rows = rows.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), "seq").alias("_last"))
+            rows = rows.select(*[F.col(f"`{k}`") for k in keys], *[F.col("_last")[c].alias(c) for c in rest]).select("seq", "_gone", *fields)
         live = rows.where("NOT _gone").drop("_gone", "seq")
         work = repo.checkout("latest", force=True)
         name = h["stream"]

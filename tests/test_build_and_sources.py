@@ -363,3 +363,61 @@ def test_source_plugins(spark, root, tmp_path):
         SOURCES["csv"](spark, path="x")
     assert SOURCES["frames"](spark, frames={"f": [(1,)]}).introspect()["f"][0].name == "_1"
     assert set(SOURCES["jdbc"](spark, kind="mysql", host="h", database="d", tables=["t"], queries={"q": "SELECT 1"}).tables()) == {"t", "q"}
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "CREATE TABLE x AS SELECT * FROM pg_catalog.pg_class",
+        "INSERT INTO t SELECT * FROM other.secret",
+        "INSERT INTO t (a) WITH q AS (SELECT * FROM other.secret) SELECT a FROM q",
+        "UPDATE t SET a = (SELECT max(b) FROM information_schema.tables)",
+        "DELETE FROM t WHERE a IN (SELECT a FROM other.t)",
+        "INSERT INTO other.t VALUES (1)",
+        "DROP TABLE other.t",
+        "CREATE TABLE other.x (a int)",
+    ],
+)
+def test_every_relation_of_every_statement_is_checked(spark, sql):
+    with pytest.raises(sqlguard.ForbiddenSQL):
+        sqlguard.check_script(spark, sql)
+
+
+def test_unknown_names_never_reach_the_session(spark):
+    spark.range(3).createOrReplaceTempView("outside")
+    try:
+        for sql in ("SELECT * FROM outside", "SELECT * FROM t WHERE a IN (SELECT id FROM outside)", "WITH q AS (SELECT * FROM outside) SELECT * FROM q", "SELECT * FROM parquet.`/tmp/x`"):
+            with pytest.raises(sqlguard.ForbiddenSQL):
+                run_sql(spark, sql, {"t": lambda: spark.range(2).toDF("a")})
+        assert run_sql(spark, "WITH outside AS (SELECT * FROM T) SELECT * FROM outside", {"t": lambda: spark.range(2).toDF("a")}).count() == 2
+    finally:
+        spark.catalog.dropTempView("outside")
+
+
+def test_dialect_forms(spark):
+    t = {"t": lambda: spark.createDataFrame([(7, 2, "AA12", None), (-7, 2, "xx", 3), (8, 3, "AA12AA34", 1)], "a int, b bigint, f string, n int")}
+    one = lambda sql: [tuple(r) for r in run_sql(spark, sql, t).collect()]
+    assert one("SELECT a / b, a / 2.0::numeric(4,2) = 3.5, a::float8 / b FROM t WHERE a = 7") == [(3, True, 3.5)]
+    assert one("SELECT (SELECT max(a) / 3 FROM t), CASE WHEN a / 2 = -3 THEN 'cut' END FROM t WHERE a < 0") == [(2, "cut")]
+    assert one("SELECT substring('abcdef' from 0 for 6), substring(f from 'AA([0-9]+)'), regexp_replace(f, '(AA)([0-9]+)', '\\2\\1') FROM t WHERE a = 7") == [("abcde", "12", "12AA")]
+    assert one("SELECT regexp_replace(f, '(AA)([0-9]+)', '\\2\\1'), regexp_replace(f, '(AA)([0-9]+)', '\\2\\1', 'g') FROM t WHERE a = 8") == [("12AAAA34", "12AA34AA")]
+    assert one("SELECT n FROM t ORDER BY n") == [(1,), (3,), (None,)] and one("SELECT n FROM t ORDER BY n DESC LIMIT 1") == [(None,)]
+    assert one("SELECT DISTINCT ON (b) b, a FROM t ORDER BY b DESC, a LIMIT 1") == [(3, 8)]
+    assert one("SELECT to_char(timestamp '2020-03-01 04:05:06', 'FMDD Mon YYYY \"at\" HH12 AM')") == [("1 Mar 2020 at 04 AM",)]
+    assert one("SELECT 2.5::numeric(3,1)::int, 2.5::float8::int, (-2.5)::numeric(3,1)::int, '4'::int") == [(3, 2, -3, 4)]
+    assert one("SELECT transform(array(1, 2), x -> x + 1), '{\"k\": [5]}'::json->'k'->>0") == [([2, 3], "5")]
+    assert one("SELECT sum(g) FROM generate_series(1, 4) AS s(g)") == [(10,)]
+    assert not spark.sql("SHOW USER FUNCTIONS").where("function LIKE '%lamina%'").count()
+
+
+def test_messages_keep_the_order_of_files(sales, tmp_path):
+    spark, folder = sales.catalog.spark, tmp_path / "messages"
+    folder.mkdir()
+    head = json.dumps({"type": "SCHEMA", "stream": "s", "key_properties": ["k"], "schema": {"properties": {"k": {"type": "integer"}, "v": {"type": "string"}}}})
+    record = lambda k, v: json.dumps({"type": "RECORD", "stream": "s", "record": {"k": k, "v": v}})
+    (folder / "001.json").write_text("\n".join([head, record(1, "old"), record(2, "a"), record(2, "b")]))
+    (folder / "002.json").write_text("\n".join([head, record(1, "new"), *[record(100 + i, "x" * 50) for i in range(500)]]))
+    repo = Repository(sales.catalog, "shop/messages")
+    messages.load_messages(repo, f"file://{folder}")
+    got = {r.k: r.v for r in repo.table("latest", "s").read().collect()}
+    assert got[1] == "new" and got[2] == "b" and len(got) == 502
