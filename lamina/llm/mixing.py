@@ -16,11 +16,13 @@ Only the classifier sees a sample: at most ``MAX_LABELLED`` labelled documents,
 Defined results: null and empty texts have no tokens, get the prior as posterior and rate 1 (they don't touch the sums);
 null ids and repeated rows are documents like others; labels with nulls or without a document are ignored, repeated
 labels count as often as they occur; a domain without labels has no target, and the others' are scaled up; where no
-feature tells labelled domains apart, all posteriors are the prior, and rates are 1.
+feature tells labelled domains apart, all posteriors are the prior, and rates are 1. Ids are numbers; other columns of any name
+and type pass through. Targets that the iterations don't reach are logged with the shares reached.
 """
 
 from __future__ import annotations
 
+import logging
 import uuid
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm.textnp import tokens
-from lamina.runtime import cut, table
+from lamina.runtime import cut, small, table
 
 DOMAINS = ("good", "poor", "toxic")
 #: Weights of the domains in the mixed corpus.
@@ -127,9 +129,11 @@ def fit(rows: list[tuple[np.ndarray, int]], k: int, bits: int = BITS, epochs: in
 def classifier(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights, bias, and which domains any labelled document has."""
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 0)
-    chosen = labels.select(F.col("doc_id").alias("_id"), domain.alias("_y")).where("_id IS NOT NULL AND _y IS NOT NULL")
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_labelled)
-    found = docs.where("text IS NOT NULL").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_y", "text")
+    mark = uuid.uuid4().hex[:8]  # columns of the documents may have any name
+    id_, y = f"_id{mark}", f"_y{mark}"
+    chosen = labels.select(F.col("doc_id").alias(id_), domain.alias(y)).where(F.col(id_).isNotNull() & F.col(y).isNotNull())
+    chosen = small(chosen.orderBy(F.xxhash64(id_), id_, y).limit(max_labelled), max_labelled)
+    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(chosen, F.col("doc_id") == F.col(id_)).select(y, "text")
 
     def run(batches):
         for b in batches:
@@ -138,38 +142,51 @@ def classifier(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
                 ids, offsets, _ = features(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), pa.array([ids[a:z].tobytes() for a, z in zip(offsets, offsets[1:])], pa.binary())], ["y", "f"])
 
-    rows = sorted((bytes(r["f"]), r["y"]) for r in found.mapInArrow(run, "y int, f binary").collect())
+    # an id may repeat in the documents: the bound holds for what the driver gets
+    taken = found.mapInArrow(run, "y int, f binary").orderBy(F.xxhash64("f", "y"), "f", "y").limit(max_labelled)
+    rows = sorted((bytes(r["f"]), r["y"]) for r in taken.collect())
     known = np.isin(np.arange(len(DOMAINS)), [y for _, y in rows])
     return *fit([(np.frombuffer(f, np.int32), y) for f, y in rows], len(DOMAINS)), known
 
 
+def member(spark: SparkSession, weights: np.ndarray, bias: np.ndarray, text: str = "text"):
+    """Column (n, p0, ...) of a text column: tokens and posteriors."""
+    shared, k = spark.sparkContext.broadcast((weights, bias)), len(bias)
+    kind = "struct<n:bigint," + ",".join(f"p{i}:double" for i in range(k)) + ">"
+
+    def of(column: pa.Array) -> pa.Array:
+        w, c = shared.value
+        parts = [pa.StructArray.from_arrays([pa.array([], pa.int64()), *[pa.array([], pa.float64())] * k], ["n", *[f"p{i}" for i in range(k)]])]
+        for start, length in slices(column):
+            ids, offsets, n = features(column.slice(start, length))
+            p = posterior(w, c, ids, offsets)
+            parts.append(pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), *[pa.array(p[:, i]) for i in range(k)]], ["n", *[f"p{i}" for i in range(k)]]))
+        return pa.concat_arrays(parts)
+
+    of.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    # as if it weren't deterministic, so that filters above it don't run it a second time
+    return F.arrow_udf(of, kind).asNondeterministic()(F.col(text).cast("string"))
+
+
 def memberships(docs: DataFrame, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
     """(doc_id, key, n, p0, ...) of every document; key is a hash of id and text."""
-    shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
-    k = len(bias)
-    names = ["doc_id", "key", "n", *[f"p{i}" for i in range(k)]]
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own_draw().alias("key"), member(docs.sparkSession, weights, bias).alias("m"))
+    return found.select("doc_id", "key", "m.*")
 
-    def run(batches):
-        w, c = shared.value
-        for b in batches:
-            for start, length in slices(b.column(2)):
-                part = b.slice(start, length)
-                ids, offsets, n = features(part.column(2))
-                p = posterior(w, c, ids, offsets)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(n.astype(np.int64)), *[pa.array(p[:, i]) for i in range(k)]], names)
 
-    source = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, key long, n long, " + ", ".join(f"p{i} double" for i in range(k)))
+def own_draw():
+    """Hash of id and text."""
+    return F.xxhash64("doc_id", F.col("text").cast("string"))
 
 
 def solve(members: DataFrame, targets=TARGETS, iterations: int = ITERATIONS):
-    """Column of rates for ``members``, and the domains' token shares (target, reached)."""
+    """Rates by columns of (n, posteriors), and the domains' token shares (target, reached)."""
     k = len(targets)
     p, n = [F.col(f"p{i}") for i in range(k)], F.col("n").cast("double")
     first = members.agg(F.sum(n).alias("n"), *[F.sum(n * p[i] * p[j]).alias(f"m{i}{j}") for i in range(k) for j in range(i, k)], *[F.sum(n * p[i]).alias(f"x{i}") for i in range(k)]).first()
     total = first["n"] or 0.0
     if not total:
-        return F.lit(1.0), None, None
+        return lambda n, p: F.lit(1.0), None, None
     have = np.array([first[f"x{i}"] for i in range(k)]) / total
     moment = np.array([[first[f"m{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)]) / total
     want = np.array(targets, float)
@@ -179,7 +196,7 @@ def solve(members: DataFrame, targets=TARGETS, iterations: int = ITERATIONS):
     inverse = np.linalg.pinv(moment, rcond=1e-9)
     pulls: list[list[float]] = []
 
-    def rate():
+    def rate(p):
         if not pulls:
             return F.lit(1.0)
         steps = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in pulls])
@@ -190,31 +207,46 @@ def solve(members: DataFrame, targets=TARGETS, iterations: int = ITERATIONS):
         if np.abs(now - goal).max() < 1e-6 * budget:
             break
         pulls.append(list(inverse @ (now - goal)))
-        r = rate()
+        r = rate(p)
         sums = members.agg(*[F.sum(r * n * p[i]).alias(f"x{i}") for i in range(k)]).first()
         now = np.array(list(sums)) / total
-    return F.when(n > 0, rate()).otherwise(F.lit(1.0)), goal, now
+    if np.abs(now - goal).max() > 1e-3 * budget:
+        logging.getLogger(__name__).warning("after %d iterations the domains have shares %s of the tokens, not %s", len(pulls), now.round(4).tolist(), goal.round(4).tolist())
+    return lambda n, p: F.when(n > 0, rate(p)).otherwise(F.lit(1.0)), goal, now
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets=TARGETS, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, key, n, p0, ..., rate, copies) of every document."""
+def planned(docs: DataFrame, labels: DataFrame, targets=TARGETS, max_labelled: int = MAX_LABELLED):
+    """The narrow table of memberships, the classifier, and rates by columns of (n, posteriors)."""
     weights, bias, known = classifier(docs, labels, max_labelled)
     members = cut(memberships(docs, weights, bias))
     targets = np.where(known, targets, 0) / max(1e-12, np.where(known, targets, 0).sum())
-    rate = solve(members, targets)[0] if weights.any() else F.lit(1.0)  # equal posteriors tell nothing apart
-    out = members.withColumn("rate", rate)
-    draw = (F.pmod(F.xxhash64(F.lit(11), F.col("key")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    return out.withColumn("copies", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
+    if not weights.any():  # equal posteriors tell nothing apart
+        return members, weights, bias, lambda n, p: F.lit(1.0)
+    return members, weights, bias, solve(members, targets)[0]
+
+
+def copies(rate, key):
+    """How often a document is emitted, by its rate and a hash."""
+    draw = (F.pmod(F.xxhash64(F.lit(11), key), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+
+
+def mixed(docs: DataFrame, labels: DataFrame, targets=TARGETS, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """(doc_id, key, n, p0, ..., rate, copies) of every document."""
+    members, _, bias, rate = planned(docs, labels, targets, max_labelled)
+    out = members.withColumn("rate", rate(F.col("n"), [F.col(f"p{i}") for i in range(len(bias))]))
+    return out.withColumn("copies", copies(F.col("rate"), F.col("key")))
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets=TARGETS, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """Documents as often as their rates ask for, with their own columns."""
+    """Documents as often as their rates ask for, with their own columns. Documents aren't moved: each is judged where it is."""
+    _, weights, bias, rate = planned(docs, labels, targets, max_labelled)
     mark = uuid.uuid4().hex[:8]  # columns of the documents may have any name
-    mine, key, n, i = (f"_{x}{mark}" for x in ("mine", "key", "n", "i"))
-    copies = mixed(docs, labels, targets, max_labelled).groupBy(F.col("key").alias(key)).agg(F.first("copies").alias(n)).where(F.col(n) > 0)
-    keyed = docs.withColumn(mine, F.xxhash64("doc_id", F.col("text").cast("string")))
-    joined = keyed.join(copies, F.col(mine) == F.col(key))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(n))).alias(i)).drop(i)
+    m, r, i = (f"_{x}{mark}" for x in ("m", "r", "i"))
+    judged = docs.withColumn(m, member(docs.sparkSession, weights, bias))
+    judged = judged.withColumn(r, rate(F.col(f"{m}.n"), [F.col(f"{m}.p{j}") for j in range(len(bias))])).withColumn(r, copies(F.col(r), own_draw()))
+    often = F.when(F.col(r) > 0, F.sequence(F.lit(1), F.col(r))).otherwise(F.array().cast("array<int>"))
+    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(often).alias(i)).drop(i)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
