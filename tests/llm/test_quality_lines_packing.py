@@ -1,16 +1,41 @@
 import random
 
+import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from lamina.llm import lines, packing, quality
 
 from .conftest import SCHEMA, hard_rows, prose
 
 
+def rejected(text, bands=quality.BANDS, chunk_band=quality.CHUNK_BAND):
+    """The rules once more, written straight from their description."""
+    data = (text or "").encode()
+    if not data:
+        return None
+    ratio = lambda piece: len(zstandard.compress(piece, 3)) / len(piece)
+    whole = ratio(data)
+    for longest, least, most in bands:
+        if len(data) <= longest:
+            break
+    if whole < least:
+        return "repetitive"
+    if whole > most:
+        return "incompressible"
+    if len(data) < 3072:
+        return None
+    pieces = []
+    while data:
+        size = 2048 if len(data) >= 3072 else len(data)
+        pieces.append(ratio(data[:size]))
+        data = data[size:]
+    return "chunks" if sum(not chunk_band[0] <= x <= chunk_band[1] for x in pieces) > 0.1 * len(pieces) else None
+
+
 def test_quality_matches_direct_compression(spark, hard):
-    compress = zstandard.ZstdCompressor(level=quality.LEVEL).compress
-    want = sorted((r[0] is not None, r[0] or 0, r[1] or "") for r in hard_rows() if quality.judge((r[1] or "").encode(), compress)[5] is None)
+    want = sorted((r[0] is not None, r[0] or 0, r[1] or "") for r in hard_rows() if rejected(r[1]) is None)
     out = quality.filter_documents(hard)
     assert out.columns == hard.columns
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in out.collect()) == want
@@ -18,13 +43,47 @@ def test_quality_matches_direct_compression(spark, hard):
     assert 9 not in kept and kept[2].whole_ratio is None and kept[4].n_bytes > 100_000
 
 
-def test_quality_rejects_noise_and_repetition():
-    r, compress = random.Random(1), zstandard.ZstdCompressor(level=3).compress
-    assert quality.judge(("the same words again " * 300).encode(), compress)[5] == "repetitive"
-    assert quality.judge("".join(chr(r.randrange(33, 127)) for _ in range(3000)).encode(), compress)[5] == "incompressible"
-    assert quality.judge(b"A short note about the garden, with nothing odd in it at all.", compress)[5] is None
-    mixed = prose(r, 300) + "".join(chr(r.randrange(33, 127)) for _ in range(9000))
-    assert quality.judge(mixed.encode(), compress)[5] is not None
+@pytest.mark.parametrize("labelled", [False, True])
+def test_quality_of_a_corpus_matches_direct_compression(spark, labelled):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    bands, chunk_band = quality.limits(quality.judged(docs), labels if labelled else None)
+    why = {r.doc_id: rejected(r.text, bands, chunk_band) for r in docs.collect()}
+    got = {r.doc_id: r for r in quality.kept(docs, labels if labelled else None).collect()}
+    assert set(got) == {i for i, w in why.items() if w is None} and 0 < len(got) < len(why)
+    assert {r.doc_id for r in quality.filter_documents(docs, labels=labels if labelled else None).select("doc_id").collect()} == set(got)
+
+
+def test_quality_compresses_once(spark, hard):
+    plan = quality.filter_documents(hard)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_quality_limits_by_hand(spark):
+    """Least ratio of a band's clean documents: the quantile of ratios, by numpy, less the margin."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    marks = {}
+    for r in labels.collect():
+        marks[r.doc_id] = min(marks.get(r.doc_id, 1), r.quality)
+    ratios = {}
+    for r in docs.collect():
+        n = len((r.text or "").encode())
+        if n and marks.get(r.doc_id) == 1:
+            band = next(i for i, b in enumerate(quality.BANDS) if n <= b[0])
+            ratios.setdefault(band, []).append(int(len(zstandard.compress(r.text.encode(), 3)) / n * 10_000) / 10_000)
+    bands, _ = quality.limits(quality.judged(docs), labels)
+    for i, (most, low, high) in enumerate(bands):
+        enough = len(ratios.get(i, [])) >= quality.LEAST_CLEAN and most > quality.DERIVE_FROM
+        want = max(quality.BANDS[i][1], np.quantile(ratios[i], quality.QUANTILE) * (1 - quality.MARGIN)) if enough else quality.BANDS[i][1]
+        assert abs(low - want) < 1e-9 and (most, high) == (quality.BANDS[i][0], quality.BANDS[i][2])
+
+
+def test_quality_rejects_noise_and_repetition(spark):
+    r = random.Random(1)
+    noise = lambda n: "".join(chr(r.randrange(33, 127)) for _ in range(n))
+    texts = ["the same words again " * 300, noise(3000), "A short note about the garden, with nothing odd in it at all.", prose(r, 300) + noise(9000)]
+    found = quality.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    why = {x.id: x.why for x in found.select("id", quality.reason(F.col("v")).alias("why")).collect()}
+    assert why[0] == "repetitive" and why[1] == "incompressible" and why[2] is None and why[3] is not None
 
 
 def test_quality_of_nothing(empty):
@@ -42,9 +101,9 @@ def test_quality_limits_follow_clean_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {x.doc_id for x in quality.filter_documents(docs, labels=labels).collect()}
     assert got == set(range(200)) == {x.doc_id for x in quality.kept(docs, labels).collect()}
-    bands, chunk_band = quality.limits(docs, labels)
+    bands, chunk_band = quality.limits(quality.judged(docs), labels)
     assert all(b[0] == a[0] and b[1] >= a[1] and b[2] == a[2] for a, b in zip(quality.BANDS, bands)) and chunk_band[0] > quality.CHUNK_BAND[0]
-    assert quality.limits(docs, labels.limit(0)) == (quality.BANDS, quality.CHUNK_BAND)
+    assert quality.limits(quality.judged(docs), labels.limit(0)) == (quality.BANDS, quality.CHUNK_BAND)
 
 
 def brute_lines(rows):
@@ -86,6 +145,19 @@ def test_line_dedup_of_shared_passages(spark):
     assert got == brute_lines(rows)
 
 
+def test_line_dedup_leaves_no_tables_and_handles_many_lines(spark):
+    rows = [(i % 50, "\n".join(f"line {j} of {i % 3}" for j in range(20_000 if i % 50 == 0 else 40))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    unique = sorted({(i, t) for i, t in rows})
+    got = sorted((x.doc_id, x.text) for x in lines.dedup_lines(df).collect())
+    seen: set = set()
+    for i, t in got:
+        assert not seen & set(t.split("\n"))
+        seen |= set(t.split("\n"))
+    assert seen == {x for _, t in unique for x in t.split("\n")}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lamina_run")]
+
+
 def test_line_dedup_of_nothing(empty):
     assert lines.dedup_lines(empty).count() == 0
 
