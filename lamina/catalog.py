@@ -19,8 +19,9 @@ from lamina.types import Schema, from_json, to_json
 ROOT = "0" * 64
 HEAD, LATEST = "HEAD", "latest"
 COMMENT_MAX = 4096
-#: Manifests of objects that are read one by one, before a job is worth it.
+#: Manifests that the driver reads one by one, before a job is worth it.
 FETCH_AT_ONCE = 64
+FACTS = "id string, size long, created string, insertion_hash string, deletion_hash string, rows_inserted long, rows_deleted long, path string, at string"
 
 
 class AmbiguousHash(ValueError):
@@ -61,7 +62,7 @@ class Image:
 
 @dataclass
 class ObjectMeta:
-    """Facts about an object that planning needs; index: ranges and blooms by column."""
+    """Facts about an object that planning needs; index: ranges and blooms by column; path: its folder below the root."""
 
     id: str
     size: int
@@ -71,6 +72,7 @@ class ObjectMeta:
     rows_inserted: int
     rows_deleted: int
     index: dict
+    path: str = ""
 
     def to_json(self) -> dict:
         return dict(self.__dict__)
@@ -89,51 +91,99 @@ def parse_name(name: str) -> tuple[str, str]:
 
 
 class Catalog:
-    """All repositories below one root."""
+    """All repositories below one root.
+
+    Facts of objects are kept in manifests, one file for all objects of a commit, one object a line. Manifests are
+    immutable but for the removal of objects, and later ones (by ``at``) hold over earlier ones.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, Store(spark, root)
         self._objects: dict[str, ObjectMeta] = {}
+        self._at: dict[str, str] = {}
+        self._read: set[str] = set()
 
     # objects
 
     def register_object(self, meta: ObjectMeta) -> None:
-        self._objects[meta.id] = meta
-        self.store.write(meta.to_json(), "meta", f"{meta.id}.json")
+        self.register_objects([meta])
+
+    def register_objects(self, metas: list[ObjectMeta]) -> None:
+        """Facts of many objects in one file."""
+        if not metas:
+            return
+        name, at = f"{secrets.token_hex(16)}.jsonl", now()
+        self.store.write_lines([{**m.to_json(), "at": at} for m in metas], "meta", name)
+        self._read.add(name)
+        for m in metas:
+            self._objects[m.id], self._at[m.id] = m, at
+
+    def refresh(self) -> None:
+        """Read manifests that others have written since."""
+        new = [n for n in self.store.names("meta") if n not in self._read]
+        if len(new) > FETCH_AT_ONCE:
+            lines = [json.loads(r["value"]) for r in self.spark.read.text([self.store.at("meta", n) for n in new]).collect()]
+        else:
+            lines = [x for n in new for x in self.store.read_lines("meta", n)]
+        for x in lines:
+            at = x.pop("at")
+            if at >= self._at.get(x["id"], ""):
+                self._objects[x["id"]], self._at[x["id"]] = ObjectMeta(**x), at
+        self._read.update(new)
 
     def object(self, id: str) -> ObjectMeta:
-        if id not in self._objects:
-            self._objects[id] = ObjectMeta(**self.store.read("meta", f"{id}.json"))
-        return self._objects[id]
+        return self.objects([id])[0]
 
     def objects(self, ids: Iterable[str]) -> list[ObjectMeta]:
-        """Facts of objects in the order asked for; many that aren't held yet are read by the cluster at once."""
+        """Facts of objects in the order asked for."""
         ids = list(ids)
-        missing = [i for i in dict.fromkeys(ids) if i not in self._objects]
-        if len(missing) > FETCH_AT_ONCE:
-            for r in self.spark.read.text([self.store.at("meta", f"{i}.json") for i in missing], wholetext=True).collect():
-                meta = ObjectMeta(**json.loads(r["value"]))
-                self._objects[meta.id] = meta
-        return [self.object(i) for i in ids]
+        if any(i not in self._objects for i in ids):
+            self.refresh()
+        missing = [i for i in ids if i not in self._objects]
+        if missing:
+            raise NotFound(f"no objects {missing[:3]}")
+        return [self._objects[i] for i in ids]
 
     def has_object(self, id: str) -> bool:
-        return id in self._objects or self.store.exists("meta", f"{id}.json")
+        return not self.new_objects([id])
 
     def object_ids(self) -> list[str]:
-        return [n[:-5] for n in self.store.names("meta")]
+        self.refresh()
+        return sorted(self._objects)
 
     def object_path(self, id: str) -> str:
-        return self.store.at("objects", id)
+        return self.store.at(self.object(id).path)
 
     def new_objects(self, ids: Iterable[str]) -> list[str]:
-        return [i for i in dict.fromkeys(ids) if not self.has_object(i)]
+        ids = list(dict.fromkeys(ids))
+        if any(i not in self._objects for i in ids):
+            self.refresh()
+        return [i for i in ids if i not in self._objects]
+
+    def drop_objects(self, ids: Iterable[str]) -> None:
+        """Remove objects' files, and them from the manifests that name them."""
+        gone = set(ids)
+        for m in [self._objects[i] for i in gone if i in self._objects]:
+            self.store.delete(m.path)
+        for n in self.store.names("meta"):
+            lines = self.store.read_lines("meta", n)
+            left = [x for x in lines if x["id"] not in gone]
+            if not left:
+                self.store.delete("meta", n)
+            elif len(left) < len(lines):
+                self.store.write_lines(left, "meta", n)
+        for i in gone:
+            self._objects.pop(i, None)
+            self._at.pop(i, None)
 
     def objects_df(self) -> DataFrame:
         """Facts of every registered object, read by the cluster rather than the driver."""
-        if not self.object_ids():
-            return self.spark.createDataFrame([], "id string, size long, created string, insertion_hash string, deletion_hash string, rows_inserted long, rows_deleted long")
-        files = self.spark.read.schema("id string, size long, created string, insertion_hash string, deletion_hash string, rows_inserted long, rows_deleted long")
-        return files.json(self.store.at("meta", "*.json"))
+        if not self.store.names("meta"):
+            return self.spark.createDataFrame([], FACTS).drop("at")
+        found = self.spark.read.schema(FACTS).json(self.store.at("meta", "*.jsonl"))
+        rest = [c for c in found.columns if c != "id"]
+        last = found.groupBy("id").agg(F.max_by(F.struct(*rest), "at").alias("m"))
+        return last.select("id", "m.*").drop("at")
 
     # repositories
 
@@ -162,10 +212,7 @@ class Catalog:
         if older_than:
             gone = gone.where(F.col("created") < older_than)
         ids = sorted(r["id"] for r in gone.collect())
-        for i in ids:
-            self.store.delete("meta", f"{i}.json")
-            self.store.delete("objects", i)
-            self._objects.pop(i, None)
+        self.drop_objects(ids)
         return ids
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import bisect
+import uuid
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
@@ -92,7 +94,8 @@ def _store(catalog: Catalog, rows: DataFrame, schema: Schema, indexes: dict | No
         if old:
             live = live.union(rows.where(F.col(old).isNotNull()).select(_CHUNK, F.col(old)[column]))
         blooms[column] = build_blooms(live, _CHUNK, column, **how)
-    ids, shape = [], schema_hash(schema)
+    ids, shape, batch, made = [], schema_hash(schema), uuid.uuid4().hex, {}
+    sizes = store.sizes(staging)
     for r in facts:
         inserted = Digest.of_row(r, "h")
         deleted = Digest.of_row(r, "d") if old else Digest.zero()
@@ -102,11 +105,19 @@ def _store(catalog: Catalog, rows: DataFrame, schema: Schema, indexes: dict | No
         if bloom:
             index["bloom"] = bloom
         ids.append(id)
-        if catalog.has_object(id):
-            continue
-        store.move(f"{staging}/{_CHUNK}={r[_CHUNK]}", "objects", id)
-        catalog.register_object(ObjectMeta(id, store.size("objects", id), now(), inserted.hex(), deleted.hex(), r["rows_inserted"], r["rows_deleted"] if old else 0, index))
-    store.delete_path(store._path(staging))
+        folder = f"{_CHUNK}={r[_CHUNK]}"
+        meta = ObjectMeta(id, sizes.get(folder, 0), now(), inserted.hex(), deleted.hex(), r["rows_inserted"], r["rows_deleted"] if old else 0, index, f"objects/{batch}/{folder}")
+        made.setdefault(id, meta)
+    new = set(catalog.new_objects(made))
+    if new:
+        # one rename and one manifest, however many objects there are; those that exist leave their folder
+        store.move(staging, "objects", batch)
+        for m in made.values():
+            if m.id not in new:
+                store.delete(m.path)
+        catalog.register_objects([m for m in made.values() if m.id in new])
+    else:
+        store.delete_path(store._path(staging))
     return ids
 
 
@@ -146,8 +157,14 @@ def split_boundaries(keys: DataFrame, schema: Schema, groups: list[tuple], name:
 
     @F.pandas_udf("long")
     def place(rows: pd.DataFrame) -> pd.Series:
+        columns = [rows.iloc[:, i] for i in range(rows.shape[1])]
+        if len(columns) == 1 and 0 not in text and not isinstance(maxes[0][0], (str, bytes)):
+            keys, ends = columns[0].to_numpy(), np.array([m[0] for m in maxes])
+            if keys.dtype.kind == "M":
+                ends = ends.astype("datetime64[us]")
+            return pd.Series(np.where(keys < np.array(first[0], ends.dtype), 0, np.searchsorted(ends, keys, side="left") + 1).astype("int64"))
         out = []
-        for key in zip(*[rows.iloc[:, i] for i in range(rows.shape[1])]):
+        for key in zip(*columns):  # keys of several columns or of text: a binary search for each
             key = tuple(k.encode() if i in text else k.to_pydatetime() if hasattr(k, "to_pydatetime") else k for i, k in enumerate(key))
             out.append(0 if key < first else bisect.bisect_left(maxes, key) + 1)
         return pd.Series(out, dtype="int64")
@@ -194,7 +211,7 @@ def reindex(catalog: Catalog, objects: list[str], schema: Schema, indexes: dict,
         for c, found in blooms.items():
             if i in found:
                 meta.index.setdefault("bloom", {})[c] = found[i]
-        catalog.register_object(meta)
+    catalog.register_objects(done)
     return [m.id for m in done]
 
 
@@ -203,5 +220,10 @@ def read_objects(catalog: Catalog, ids: list[str], schema: Schema) -> DataFrame:
     struct = T.StructType([T.StructField(LIVE, T.BooleanType()), *struct_of(schema).fields])
     if not ids:
         return catalog.spark.createDataFrame([], struct).withColumn("_id", F.lit(""))
-    scan = catalog.spark.read.schema(struct).parquet(*[catalog.object_path(i) for i in ids])
-    return scan.withColumn("_id", F.regexp_extract(F.col("_metadata.file_path"), r"/objects/([^/]+)/", 1))
+    metas = catalog.objects(dict.fromkeys(ids))
+    scan = catalog.spark.read.schema(struct).parquet(*[catalog.store.at(m.path) for m in metas])
+    place = F.regexp_extract(F.col("_metadata.file_path"), r"/(objects/[^/]+/[^/]+)/[^/]+$", 1)
+    if len(metas) == 1:
+        return scan.withColumn("_id", F.lit(metas[0].id))
+    number = catalog.spark.createDataFrame([(m.path, m.id) for m in metas], "_path string, _id string")
+    return scan.withColumn("_path", F.url_decode(place)).join(small(number, len(metas)), "_path").drop("_path")

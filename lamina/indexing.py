@@ -109,16 +109,30 @@ def bloom_shape(n: int, probability: float | None = None, size: int | None = Non
 def bloom_bits(values: DataFrame, group: str, column: str, shape: DataFrame, groups: int) -> DataFrame:
     """(group, k, bits) with filters built by partial OR on each map task. shape: (group, size, k)."""
 
+    def remainder(digests, m: np.ndarray) -> np.ndarray:
+        """256-bit numbers modulo each row's m, word by word."""
+        words = np.frombuffer(b"".join(digests), ">u4").reshape(-1, 8)
+        out = np.zeros(len(words), np.uint64)
+        for i in range(8):
+            out = ((out << np.uint64(32)) | words[:, i].astype(np.uint64)) % m
+        return out
+
     def fill(batches):
         held: dict[int, tuple[int, np.ndarray]] = {}
         for b in batches:
-            for g, v, size, k in zip(*[c.to_pylist() for c in b.columns]):
+            if not b.num_rows:
+                continue
+            group, first, step, size, k = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_numpy(), b.column(4).to_numpy()
+            m = size.astype(np.uint64) * np.uint64(8)
+            a, z = remainder(first, m), remainder(step, m)
+            for g in np.unique(group):
+                here = group == g
                 if g not in held:
-                    held[g] = (k, np.zeros(size, np.uint8))
-                a, z = bloom_hashes(v)
-                for i in range(k):
-                    at = (a + i * z) % (size * 8)
-                    held[g][1][at >> 3] |= 1 << (at & 7)
+                    held[int(g)] = (int(k[here][0]), np.zeros(int(size[here][0]), np.uint8))
+                bits, most = held[int(g)][1], m[here][0]
+                for i in range(held[int(g)][0]):
+                    at = (a[here] + np.uint64(i) * z[here]) % most
+                    np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         for g, (k, bits) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([k], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["g", "k", "bits"])
 
@@ -126,7 +140,9 @@ def bloom_bits(values: DataFrame, group: str, column: str, shape: DataFrame, gro
         bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()])
         return pa.table([table.column("g").slice(0, 1), table.column("k").slice(0, 1), pa.array([bits.tobytes()], pa.binary())], ["g", "k", "bits"])
 
-    sized = values.join(small(shape, groups), group).select(F.col(group).cast("long").alias("g"), F.col(column), "size", "k")
+    value = F.coalesce(F.col(column), F.lit("NULL"))
+    hashed = [F.unhex(F.sha2(v, 256)) for v in (value, F.concat(value, F.lit("salt")))]
+    sized = values.join(small(shape, groups), group).select(F.col(group).cast("long").alias("g"), *hashed, "size", "k")
     return sized.mapInArrow(fill, "g long, k int, bits binary").groupBy("g").applyInArrow(merge, "g long, k int, bits binary")
 
 

@@ -5,18 +5,20 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina import changes as ch
-from lamina.catalog import HEAD, ROOT, Catalog, Image, Images, TableVersion, now, parse_name
-from lamina.fragments import CHUNK, reindex, write_base, write_patch
+from lamina.catalog import HEAD, ROOT, Catalog, Image, Images, ObjectMeta, TableVersion, now, parse_name
+from lamina.dialect import settled
+from lamina.fragments import _CHUNK as CHUNK_COLUMN
+from lamina.fragments import CHUNK, read_objects, reindex, write_base, write_patch
 from lamina.quals import Quals
+from lamina.runtime import small
 from lamina.scan import TableScan
-from lamina.dialect import settled
 from lamina.sqlguard import ForbiddenSQL, relations
 from lamina.store import NotFound
 from lamina.types import Schema, compatible, dumps, schema_of, struct_of
@@ -195,7 +197,7 @@ class Repository:
                 if origin not in found.tables:
                     raise NotFound(f"no table {origin} in {source.name}")
                 version = found.tables[origin]
-                copy_objects(source.catalog, self.catalog, version.objects)
+                copy_objects(source.catalog, self.catalog, version.objects, schemas=dict.fromkeys(version.objects, version.schema))
                 tables[name] = TableVersion(version.schema, list(version.objects))
         made = self.images.add(head.hash if head else None, image_hash, tables, comment or f"Importing {', '.join(names)} from {source.name}", provenance)
         self.images.tag(made.hash, HEAD)
@@ -214,8 +216,8 @@ class Repository:
         """Copy images, objects and tags that the other lacks; returns the copied images."""
         wanted = self.images.log(self.images[image].hash) if image else list(self.images)
         here = [i for i in wanted if not other.images.has(i.hash)]
-        ids = {o for i in here for t in i.tables.values() for o in t.objects}
-        copy_objects(self.catalog, other.catalog, ids, overwrite_objects)
+        schemas = {o: t.schema for i in here for t in i.tables.values() for o in t.objects}
+        copy_objects(self.catalog, other.catalog, schemas, overwrite_objects, schemas)
         for i in sorted(here, key=lambda i: i.created):
             other.images.add(i.parent, i.hash, i.tables, i.comment, i.provenance, i.created)
         theirs = other.images.tags()
@@ -405,8 +407,6 @@ class WorkingCopy:
 
     def alter(self, name: str, add: dict[str, str] | None = None, drop: Sequence[str] = (), pk: Sequence[str] | None = None) -> None:
         """Change the schema; the next commit stores the table anew. New columns get ordinals of their own."""
-        from dataclasses import replace
-
         from lamina.types import Column, spark_type
 
         s = self._staged(name)
@@ -449,15 +449,39 @@ class WorkingCopy:
         run_script(self, script)
 
 
-def copy_objects(source: Catalog, target: Catalog, ids, overwrite: bool = False) -> list[str]:
-    """Objects that the target lacks, file by file; a cluster would use its own distributed copy beyond some thousands."""
+#: Objects that are copied one by one; more are copied by the cluster.
+COPY_ONE_BY_ONE = 4
+
+
+def copy_objects(source: Catalog, target: Catalog, ids, overwrite: bool = False, schemas: dict[str, Schema] | None = None) -> list[str]:
+    """Objects that the target lacks. Many are read and written by the cluster, as one job for each schema, and registered at once.
+
+    schemas: of each object, for that.
+    """
     if source.store.root == target.store.root:
         return []
     todo = list(dict.fromkeys(ids)) if overwrite else target.new_objects(ids)
+    by: dict[str, list[str]] = {}
     for i in todo:
-        target.store.delete("objects", i)
-        source.store.copy_to(target.store, "objects", i)
-        target.register_object(source.object(i))
+        by.setdefault(dumps([c.__dict__ for c in schemas[i]]) if schemas and i in schemas else "", []).append(i)
+    done: list[ObjectMeta] = []
+    for kind, part in by.items():
+        batch = uuid.uuid4().hex
+        if not kind or len(part) <= COPY_ONE_BY_ONE:
+            for n, m in enumerate(source.objects(part)):
+                source.store.copy_to(target.store, m.path, to=f"objects/{batch}/{CHUNK_COLUMN}={n}")
+                done.append(replace(m, path=f"objects/{batch}/{CHUNK_COLUMN}={n}"))
+            continue
+        metas = source.objects(part)
+        number = source.spark.createDataFrame([(m.id, n) for n, m in enumerate(metas)], f"_id string, {CHUNK_COLUMN} long")
+        rows = read_objects(source, part, schemas[part[0]]).join(small(number, len(metas)), "_id").drop("_id")
+        rows.repartition(min(len(metas), 10_000), CHUNK_COLUMN).write.partitionBy(CHUNK_COLUMN).option("compression", "zstd").parquet(staging := target.store.staging())
+        sizes = target.store.sizes(staging)
+        target.store.move(staging, "objects", batch)
+        done += [replace(m, path=f"objects/{batch}/{CHUNK_COLUMN}={n}", size=sizes.get(f"{CHUNK_COLUMN}={n}", m.size)) for n, m in enumerate(metas)]
+    if overwrite:
+        target.drop_objects(m.id for m in done)
+    target.register_objects(done)
     return todo
 
 

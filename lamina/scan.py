@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -107,13 +108,43 @@ class TableScan:
         return out.select(*[F.col(f"`{c}`") for c in columns]) if columns else out
 
     def _merge(self, metas: list[ObjectMeta]) -> DataFrame:
-        """Rows of the last object that has their key. Within one object equal keys stay, as tables without key have them."""
+        """Rows of the last object that has their key. Within one object equal keys stay, as tables without key have them.
+
+        Objects that meet no earlier one are the ground; only keys of the others, which are patches as a rule, can
+        replace their rows, so these are anti-joined and the ground isn't shuffled where the patches are few.
+        """
         order = {i: n for n, i in enumerate(dict.fromkeys(self.version.objects))}
-        number = self.catalog.spark.createDataFrame([(m.id, order[m.id]) for m in metas], "_id string, _ord int")
-        rows = read_objects(self.catalog, [m.id for m in metas], self.schema)
-        rows = rows.join(small(number, len(metas)), "_id")
-        key = Window.partitionBy(*[F.col(f"`{c.name}`") for c in key_columns(self.schema)])
-        return rows.withColumn("_last", F.max("_ord").over(key)).where(F.col(LIVE) & (F.col("_ord") == F.col("_last")))
+        metas = sorted(metas, key=lambda m: order[m.id])
+        ranges = {m.id: key_range(m, self.schema) for m in metas}
+        ground, over = [], []
+        if any(r is None for r in ranges.values()):
+            ground, over = metas[:1], metas[1:]
+        else:
+            reached: list[tuple] = []  # disjoint (least, greatest) of the objects so far, in order
+            for m in metas:
+                lo, hi = ranges[m.id]
+                at = bisect.bisect_left(reached, (lo,))
+                at -= at > 0 and reached[at - 1][1] >= lo
+                end = at
+                while end < len(reached) and reached[end][0] <= hi:
+                    end += 1
+                (over if end > at else ground).append(m)
+                joined = reached[at:end]
+                reached[at:end] = [(min([lo, *[x[0] for x in joined]]), max([hi, *[x[1] for x in joined]]))]
+        keys = [F.col(f"`{c.name}`") for c in key_columns(self.schema)]
+        base = read_objects(self.catalog, [m.id for m in ground], self.schema).where(LIVE)
+        if not over:
+            return base
+        number = self.catalog.spark.createDataFrame([(m.id, order[m.id]) for m in over], "_id string, _ord int")
+        rows = read_objects(self.catalog, [m.id for m in over], self.schema).join(small(number, len(over)), "_id").drop("_id")
+        changed = small(rows.select(*[k.alias(f"_k{i}") for i, k in enumerate(keys)]), sum(m.rows_inserted + m.rows_deleted for m in over))
+        cond = None
+        for i, k in enumerate(keys):
+            same = k.eqNullSafe(F.col(f"_k{i}"))
+            cond = same if cond is None else cond & same
+        last = rows.withColumn("_last", F.max("_ord").over(Window.partitionBy(*keys))).where(F.col(LIVE) & (F.col("_ord") == F.col("_last")))
+        names = [F.col(f"`{c.name}`") for c in self.schema]
+        return base.join(changed, cond, "left_anti").select(*names).unionByName(last.select(*names))
 
     def count(self) -> int:
         """Rows by metadata alone."""

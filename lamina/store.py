@@ -6,6 +6,7 @@ import json
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 class NotFound(KeyError):
@@ -42,15 +43,29 @@ class Store:
         finally:
             stream.close()
 
+    def read_lines(self, *parts: str) -> list:
+        """Values of a file that has one a line."""
+        stream = self._fs.open(self._path(self.at(*parts)))
+        try:
+            return [json.loads(x) for x in bytes(stream.readAllBytes()).decode().splitlines() if x]
+        finally:
+            stream.close()
+
+    def write_lines(self, values: list, *parts: str) -> bool:
+        return self._put("\n".join(json.dumps(v, sort_keys=True) for v in values), True, parts)
+
     def write(self, value, *parts: str, overwrite: bool = True) -> bool:
         """Written aside, then moved into place; without overwrite, False where the file is there already."""
+        return self._put(json.dumps(value, sort_keys=True), overwrite, parts)
+
+    def _put(self, text: str, overwrite: bool, parts: tuple[str, ...]) -> bool:
         target = self._path(self.at(*parts))
         if not overwrite and self._fs.exists(target):
             return False
         aside = self._path(self.at(*parts[:-1], f".{parts[-1]}.{uuid.uuid4().hex}.tmp"))
         self._fs.mkdirs(target.getParent())
         stream = self._fs.create(aside, True)
-        stream.write(bytearray(json.dumps(value, sort_keys=True).encode()))
+        stream.write(bytearray(text.encode()))
         stream.close()
         if not overwrite:
             return bool(self._fs.rename(aside, target)) or not self.delete_path(aside)
@@ -79,14 +94,23 @@ class Store:
     def size(self, *parts: str) -> int:
         return int(self._fs.getContentSummary(self._path(self.at(*parts))).getLength())
 
+    def sizes(self, path: str, most: int = 64) -> dict[str, int]:
+        """Bytes by folder directly below a path. Many are counted by the cluster."""
+        found = [s.getPath() for s in self._fs.listStatus(self._path(path)) if s.isDirectory()]
+        if len(found) <= most:
+            return {p.getName(): int(self._fs.getContentSummary(p).getLength()) for p in found}
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+        folder = F.element_at(F.split("path", "/"), -2)
+        return {r["f"]: r["n"] for r in files.groupBy(folder.alias("f")).agg(F.sum("length").alias("n")).collect()}
+
     def children(self, path: str) -> list[str]:
         where = self._path(path)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(where)) if self._fs.exists(where) else []
 
-    def copy_to(self, other: Store, *parts: str) -> None:
-        target = self._path(other.at(*parts))
+    def copy_to(self, other: Store, source: str, to: str) -> None:
+        target = self._path(other.at(to))
         other._fs.mkdirs(target.getParent())
-        self._jvm.org.apache.hadoop.fs.FileUtil.copy(self._fs, self._path(self.at(*parts)), other._fs, target, False, True, self.spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm.org.apache.hadoop.fs.FileUtil.copy(self._fs, self._path(self.at(source)), other._fs, target, False, True, self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def staging(self) -> str:
         return self.at(".staging", uuid.uuid4().hex)
