@@ -7,10 +7,13 @@ import json
 
 from pyspark.sql import SparkSession
 
-from lamina.build import Builder, dependencies, to_build_file
+from lamina.build import Builder, dependencies, dependents, rebuild, to_build_file
 from lamina.catalog import Catalog
+from lamina.external import make_external
 from lamina.repo import Repository
+from lamina.sources.base import SOURCES
 from lamina.sources.csvfiles import read_csv, write_csv
+from lamina.sources.webapi import answer
 
 
 def parser() -> argparse.ArgumentParser:
@@ -33,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
     add("show", "repo", "image")
     add("table", "repo", "image", "table")
     add("tag", "repo", "image", "tag", delete={"action": "store_true"})
-    add("diff", "repo", "table", "left", "right", rows={"action": "store_true"})
+    add("diff", "repo", "table", "left", "right", rows={"action": "store_true"}, limit={"type": int, "default": 0})
     add("sql", "repo", "query", image={"default": "latest"}, limit={"type": int, "default": 20})
     add("rm", "repo", "image")
     add("cleanup")
@@ -41,6 +44,22 @@ def parser() -> argparse.ArgumentParser:
     add("provenance", "repo", "image")
     add("clone", "repo", "name")
     add("dump", "repo", "path")
+    add("load", "repo", "path")
+    add("checkout", "repo", "image")
+    add("status", "repo")
+    add("commit-sql", "repo", "script", comment={"default": None})
+    add("import", "repo", "source", "image", "tables", names={"default": None})
+    add("reindex", "repo", "image", "table", "indexes")
+    for name in ("push", "pull"):
+        add(name, "repo", "remote", remote_name={"default": None}, overwrite_tags={"action": "store_true"}, overwrite_objects={"action": "store_true"})
+    add("upstream", "repo", set={"default": None}, reset={"action": "store_true"})
+    add("rebuild", "repo", "image", source={"action": "append", "default": []})
+    add("dependents", "repo", "image")
+    add("objects")
+    add("externalize", "repo", "image", "root")
+    add("mount", "repo", "handler", "params", tables={"default": None})
+    add("rest", "repo", "image", "table", "request")
+    add("grant", "namespace", "user")
     add("csv-import", "repo", "table", "path", key={"action": "append", "default": []})
     add("csv-export", "repo", "table", "path", image={"default": "latest"})
     return p
@@ -76,7 +95,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
         if isinstance(found, bool):
             return "added" if found else "removed"
         if args.rows:
-            return "\n".join(("+ " if r["added"] else "- ") + json.dumps({k: v for k, v in r.asDict().items() if k != "added"}, default=str) for r in found.limit(1000).collect())
+            return "\n".join(("+ " if r["added"] else "- ") + json.dumps({k: v for k, v in r.asDict().items() if k != "added"}, default=str) for r in (found.limit(args.limit) if args.limit else found).toLocalIterator())
         return "added {}, removed {}, updated {}".format(*found)
     if c == "sql":
         return "\n".join(repo.sql(args.query, args.image).limit(args.limit).toJSON().collect())
@@ -96,6 +115,45 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
         return repo.clone(args.name).name
     if c == "dump":
         return repo.dump(args.path)
+    if c == "load":
+        return "\n".join(repo.load_dump(args.path))
+    if c == "checkout":
+        return repo.checkout(args.image).image.hash
+    if c == "status":
+        head = repo.head
+        return f"{head.hash} {head.comment or ''}".rstrip() if head else "nothing is checked out"
+    if c == "commit-sql":
+        repo.checkout(repo.head.hash if repo.head else "latest", force=True).sql(args.script)
+        return repo.commit(comment=args.comment).hash
+    if c == "import":
+        tables = args.tables.split(",")
+        return repo.import_tables(args.names.split(",") if args.names else tables, Repository(catalog, args.source), tables, args.image).hash
+    if c == "reindex":
+        return "\n".join(repo.reindex(args.image, args.table, json.loads(args.indexes)))
+    if c in ("push", "pull"):
+        other = Repository(Catalog(spark, args.remote), args.remote_name or args.repo)
+        return "\n".join(getattr(repo, c)(other, overwrite_tags=args.overwrite_tags, overwrite_objects=args.overwrite_objects))
+    if c == "upstream":
+        if args.set or args.reset:
+            repo.images.set_upstream(args.set)
+        return repo.images.upstream() or ""
+    if c == "rebuild":
+        return rebuild(repo, args.image, dict(s.split("=", 1) for s in args.source)).hash
+    if c == "dependents":
+        return "\n".join(sorted(f"{r['repository']}:{r['image']}" for r in dependents(catalog, args.repo, repo.images[args.image].hash).collect()))
+    if c == "objects":
+        return "\n".join(catalog.object_ids())
+    if c == "externalize":
+        return "\n".join(make_external(catalog, {o for t in repo.images[args.image].tables.values() for o in t.objects}, root=args.root))
+    if c == "mount":
+        source = SOURCES[args.handler](spark, **json.loads(args.params))
+        return source.load(repo, args.tables.split(",") if args.tables else None)
+    if c == "rest":
+        t = repo.table(args.image, args.table)
+        return json.dumps(answer(t.read(), t.schema, args.request))
+    if c == "grant":
+        catalog.grant(args.namespace, args.user)
+        return args.user
     if c == "csv-import":
         return repo.import_frame(args.table, read_csv(spark, args.path), args.key).hash
     write_csv(repo.table(args.image, args.table).read(), args.path)

@@ -97,8 +97,9 @@ class Catalog:
     immutable but for the removal of objects, and later ones (by ``at``) hold over earlier ones.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store = spark, Store(spark, root)
+    def __init__(self, spark: SparkSession, root: str, user: str | None = None):
+        self.spark, self.store, self.user = spark, Store(spark, root), user
+        self.cache = None  # of external objects, see lamina.external
         self._objects: dict[str, ObjectMeta] = {}
         self._at: dict[str, str] = {}
         self._read: set[str] = set()
@@ -152,7 +153,12 @@ class Catalog:
         return sorted(self._objects)
 
     def object_path(self, id: str) -> str:
-        return self.store.at(self.object(id).path)
+        return self.location(self.object(id))
+
+    def location(self, meta: ObjectMeta) -> str:
+        """Where an object's files are: in the cache, elsewhere, or below the root."""
+        held = self.cache.location(meta) if self.cache else None
+        return held or self.store.whole(meta.path)
 
     def new_objects(self, ids: Iterable[str]) -> list[str]:
         ids = list(dict.fromkeys(ids))
@@ -164,7 +170,7 @@ class Catalog:
         """Remove objects' files, and them from the manifests that name them."""
         gone = set(ids)
         for m in [self._objects[i] for i in gone if i in self._objects]:
-            self.store.delete(m.path)
+            self.store.delete_path(self.store._path(self.location(m)))
         for n in self.store.names("meta"):
             lines = self.store.read_lines("meta", n)
             left = [x for x in lines if x["id"] not in gone]
@@ -185,6 +191,23 @@ class Catalog:
         last = found.groupBy("id").agg(F.max_by(F.struct(*rest), "at").alias("m"))
         return last.select("id", "m.*").drop("at")
 
+    # privileges
+
+    def grant(self, namespace: str, user: str | None) -> None:
+        """Make a user the owner of a namespace; None opens it."""
+        self.check_privilege(namespace)
+        if user is None:
+            self.store.delete("owners", f"{namespace}.json")
+        else:
+            self.store.write({"owner": user}, "owners", f"{namespace}.json")
+
+    def check_privilege(self, namespace: str) -> None:
+        """Anyone may read; a namespace with an owner is written by that owner alone."""
+        if self.store.exists("owners", f"{namespace}.json"):
+            owner = self.store.read("owners", f"{namespace}.json")["owner"]
+            if owner != self.user:
+                raise PermissionError(f"namespace {namespace} belongs to {owner}")
+
     # repositories
 
     def repositories(self) -> list[str]:
@@ -275,15 +298,18 @@ class Images:
         return self.by_hash(key)
 
     def tag(self, hash: str, tag: str) -> None:
+        self.catalog.check_privilege(self.namespace)
         if tag == LATEST:
             raise ValueError(f"{LATEST} is computed and can't be set")
         self.store.write({"image": self.get(hash).hash}, *self.at, "tags", tag)
 
     def untag(self, tag: str) -> None:
+        self.catalog.check_privilege(self.namespace)
         if not self.store.delete(*self.at, "tags", tag):
             raise NotFound(f"no tag {tag}")
 
     def add(self, parent: str | None, hash: str | None = None, tables: dict | None = None, comment: str | None = None, provenance: list[dict] | None = None, created: str | None = None) -> Image:
+        self.catalog.check_privilege(self.namespace)
         hash = hash or secrets.token_hex(32)
         if hash == parent:
             raise ValueError("an image can't be its own parent")
@@ -296,9 +322,11 @@ class Images:
         return image
 
     def update(self, image: Image) -> None:
+        self.catalog.check_privilege(self.namespace)
         self.store.write(image.to_json(), *self.at, "images", f"{image.hash}.json")
 
     def delete(self, hashes: Iterable[str]) -> None:
+        self.catalog.check_privilege(self.namespace)
         gone = set(hashes)
         for t, h in self.tags().items():
             if h in gone:

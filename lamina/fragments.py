@@ -221,9 +221,11 @@ def read_objects(catalog: Catalog, ids: list[str], schema: Schema) -> DataFrame:
     if not ids:
         return catalog.spark.createDataFrame([], struct).withColumn("_id", F.lit(""))
     metas = catalog.objects(dict.fromkeys(ids))
-    scan = catalog.spark.read.schema(struct).parquet(*[catalog.store.at(m.path) for m in metas])
-    place = F.regexp_extract(F.col("_metadata.file_path"), r"/(objects/[^/]+/[^/]+)/[^/]+$", 1)
+    folders = [catalog.location(m) for m in metas]
+    scan = catalog.spark.read.schema(struct).parquet(*folders)
     if len(metas) == 1:
         return scan.withColumn("_id", F.lit(metas[0].id))
-    number = catalog.spark.createDataFrame([(m.path, m.id) for m in metas], "_path string, _id string")
-    return scan.withColumn("_path", F.url_decode(place)).join(small(number, len(metas)), "_path").drop("_path")
+    last = [f.rsplit("/", 2)[-2] + "/" + f.rsplit("/", 1)[-1] for f in folders]  # tells folders apart, whatever stands before
+    number = catalog.spark.createDataFrame(list(zip(last, [m.id for m in metas])), "_path string, _id string")
+    place = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"/([^/]+/[^/]+)/[^/]+$", 1)
+    return scan.withColumn("_path", place).join(small(number, len(metas)), "_path").drop("_path")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.operators.ordered import running_total
+
 DECAY, FLOOR, MIN_FRACTION = 0.00000802, 10 * 1024 * 1024, 0.05
 
 
@@ -18,10 +20,10 @@ def score(idle_seconds: Column, size: Column, decay: float = DECAY, floor: int =
 def eviction_order(objects: DataFrame, decay: float = DECAY, floor: int = FLOOR) -> DataFrame:
     """(id, size, idle, orphan) with score and the bytes freed up to each: orphans first, then by score, then by id.
 
-    One row per cached object of one node, so a single ordered window is small.
+    The order is cut into ranges, so no task sorts all objects.
     """
-    by = Window.orderBy(F.desc("orphan"), "score", "id")
-    return objects.withColumn("score", score(F.col("idle"), F.col("size"), decay, floor)).withColumn("freed", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    scored = objects.withColumn("score", score(F.col("idle"), F.col("size"), decay, floor))
+    return running_total(scored, [F.desc("orphan"), F.asc("score"), F.asc("id")], "size", "freed")
 
 
 def evict(objects: list[tuple[str, int, float, bool]], required: int, capacity: int, decay: float = DECAY, floor: int = FLOOR, fraction: float = MIN_FRACTION) -> list[str]:

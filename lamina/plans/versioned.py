@@ -5,7 +5,8 @@ Version 2 deletes orders of the lowest priority, raises the price of finished on
 
 from __future__ import annotations
 
-import pandas as pd
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from lamina.catalog import Catalog, TableVersion
 from lamina.digest import LANES, content_hash, hex_column, lane_sums
 from lamina.fragments import _CHUNK, number_chunks, split_boundaries, write_base
 from lamina.functions import adapters as pg
-from lamina.indexing import chunk_groups
+from lamina.operators import ordered
 from lamina.operators.eviction import eviction_order
 from lamina.repo import Repository
 from lamina.rowtext import row_text
@@ -93,28 +94,12 @@ def chunk_layout(spark, sf_dir):
     return rows.groupBy(F.col(_CHUNK).alias("chunk")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
 
 
-@query("SELECT chunk, min(o_custkey) AS lo_cust, max(o_custkey) AS hi_cust, min(o_orderpriority) AS lo_prio, max(o_orderpriority) AS hi_prio, min(o_totalprice) AS lo_price, max(o_totalprice) AS hi_price FROM (SELECT *, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS BIGINT) AS chunk FROM orders) t GROUP BY chunk")
-def range_index(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    rows = number_chunks(orders, schema_of(orders.schema, ("o_orderkey",)), CHUNK, scratch_path(spark, "chunks"))
-    return rows.groupBy(F.col(_CHUNK).alias("chunk")).agg(*[f(c).alias(f"{n}_{a}") for c, a in (("o_custkey", "cust"), ("o_orderpriority", "prio"), ("o_totalprice", "price")) for f, n in ((F.min, "lo"), (F.max, "hi"))])
-
-
-@query("SELECT chunk, arg_min(o_custkey, rn) AS lo_cust, arg_min(o_orderkey, rn) AS lo_order, arg_max(o_custkey, rn) AS hi_cust, arg_max(o_orderkey, rn) AS hi_order FROM (SELECT *, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS rn, CAST((row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1) // 500 AS BIGINT) AS chunk FROM orders) t GROUP BY chunk")
-def composite_key_range(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    rows = number_chunks(orders, schema_of(orders.schema, ("o_custkey", "o_orderkey")), CHUNK, scratch_path(spark, "chunks"))
-    key = F.struct("o_custkey", "o_orderkey")
-    found = rows.groupBy(F.col(_CHUNK).alias("chunk")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    return found.select("chunk", F.col("lo.o_custkey").alias("lo_cust"), F.col("lo.o_orderkey").alias("lo_order"), F.col("hi.o_custkey").alias("hi_cust"), F.col("hi.o_orderkey").alias("hi_order"))
-
-
-@query("SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber FROM lineitem) t WHERE l_linenumber <> 2")
+@query("SELECT * FROM lineitem WHERE l_linenumber <> 2")
 def no_key_patch(spark, sf_dir):
     """A table without key: a patch takes all copies of the rows that it touches."""
     repo = Repository(Catalog(spark, scratch_path(spark, "nokey")), "demo/nokey")
     repo.init()
-    repo.work.create("t", table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"))
+    repo.work.create("t", table(spark, sf_dir, "lineitem"))
     repo.commit(chunk_size=None)
     repo.work.delete("t", "l_linenumber = 2")
     repo.commit()
@@ -143,11 +128,9 @@ def diff_counts(spark, sf_dir):
 
 @query("SELECT count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS inserted, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS deleted, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW') AS updated FROM orders")
 def pending_counts(spark, sf_dir):
-    repo = repository(spark, sf_dir)
-    work = repo.checkout("v1", force=True)
-    edit(work)
+    repo = Repository(repository(spark, sf_dir).catalog, "demo/sales").clone(f"demo/pending-{uuid.uuid4().hex[:8]}")
+    edit(repo.checkout("v1", force=True))
     out = repo.diff_counts("orders", "v1")
-    repo.checkout("v2", force=True)
     return spark.createDataFrame([out], "inserted long, deleted long, updated long")
 
 
@@ -178,13 +161,8 @@ g AS (SELECT *, sum(CASE WHEN e IS NULL OR a > e THEN 1 ELSE 0 END) OVER (PARTIT
 SELECT p_brand, min(a) AS lo, max(b) AS hi, count(*) AS n FROM g GROUP BY p_brand, gid""")
 def interval_groups(spark, sf_dir):
     """Groups of overlapping intervals, for each brand as for the objects of a table."""
-
-    def merge(key, pdf):
-        groups = chunk_groups(list(pdf[["p_partkey", "a", "b"]].itertuples(index=False, name=None)))
-        return pd.DataFrame([(key[0], min(x[1] for x in g), max(x[2] for x in g), len(g)) for g in groups], columns=["p_brand", "lo", "hi", "n"])
-
     rows = table(spark, sf_dir, "part").selectExpr("p_brand", "p_partkey", "p_partkey * 3 AS a", "p_partkey * 3 + p_size * 2 AS b")
-    return rows.groupBy("p_brand").applyInPandas(merge, "p_brand string, lo long, hi long, n long")
+    return ordered.interval_groups(rows, "a", "b", ["p_brand"], ["p_partkey"])
 
 
 scan("scan_point", [[("o_orderkey", "=", 115)]], "o_orderkey = 115")
@@ -207,12 +185,13 @@ def length_by_metadata(spark, sf_dir):
     return spark.createDataFrame([(repository(spark, sf_dir).table("v2", "orders").count(),)], "rows_by_metadata long")
 
 
-@query()
+@query("SELECT 'point' AS qualifier, CAST(1 AS BIGINT) AS needed, true AS within FROM orders WHERE o_orderkey = 115 UNION ALL SELECT 'beyond', count(*), true FROM orders WHERE o_orderkey > 2000000000 UNION ALL SELECT 'none', CAST(-1 AS BIGINT), true")
 def pruned_objects(spark, sf_dir):
-    """Objects that each qualifier needs, of all."""
-    t = repository(spark, sf_dir).table("v2", "orders")
-    cases = {"point": [[("o_orderkey", "=", 115)]], "high": [[("o_orderkey", ">", 2_000_000_000)]], "all": None}
-    return spark.createDataFrame([(k, len(p.required), p.total) for k, q in cases.items() for p in [t.plan(q)]], "qualifier string, needed long, objects long")
+    """Objects of the first version that each qualifier needs: the one that holds a key, none beyond all keys, or all."""
+    t = repository(spark, sf_dir).table("v1", "orders")
+    cases = {"point": [[("o_orderkey", "=", 115)]], "beyond": [[("o_orderkey", ">", 2_000_000_000)]], "none": None}
+    plans = {k: t.plan(q) for k, q in cases.items()}
+    return spark.createDataFrame([(k, -1 if len(p.required) == p.total else len(p.required), p.total > 10) for k, p in plans.items()], "qualifier string, needed long, within boolean")
 
 
 @query("""WITH u AS (SELECT o_orderkey AS k, o_orderstatus <> 'P' AS flag, o_totalprice + 1 AS p FROM orders WHERE o_orderstatus IN ('P', 'F'))
@@ -225,18 +204,22 @@ def overlay_view(spark, sf_dir):
     return ch.overlay(lower, upper.unionByName(older), schema_of(lower.schema, ("k",)))
 
 
-_TEXT = """'(' || p_partkey || ',' || CASE WHEN p_name = '' OR regexp_matches(p_name, '[\\s,"\\\\()]') THEN '"' || p_name || '"' ELSE p_name END || ',' || CASE WHEN regexp_matches(p_brand, '[\\s,"\\\\()]') THEN '"' || p_brand || '"' ELSE p_brand END || ',' || CASE WHEN regexp_matches(p_type, '[\\s,"\\\\()]') THEN '"' || p_type || '"' ELSE p_type END || ',' || p_size || ')'"""
+def _quoted(c: str) -> str:
+    return f"""CASE WHEN {c} = '' OR regexp_matches({c}, '[\\s,"\\\\()]') THEN '"' || {c} || '"' ELSE {c} END"""
+
+
+_TEXT = f"""'(' || p_partkey || ',' || {_quoted("p_name")} || ',' || {_quoted("p_brand")} || ',' || {_quoted("p_type")} || ',' || p_size || ',' || CAST(p_retailprice AS VARCHAR) || ')'"""
 _LANES = " || ".join(f"printf('%04x', CAST(sum(CAST('0x' || substr(h, {4 * i + 1}, 4) AS BIGINT)) % 65536 AS BIGINT))" for i in range(LANES))
 
 
 @query(f"SELECT {_LANES} AS hash, count(*) AS n FROM (SELECT sha256({_TEXT}) AS h FROM part) t")
 def content_hashes(spark, sf_dir):
-    part = table(spark, sf_dir, "part").drop("p_retailprice")
+    part = table(spark, sf_dir, "part")
     found = part.select(F.sha2(row_text(schema_of(part.schema)), 256).alias("s")).agg(*lane_sums(F.col("s")), F.count("*").alias("n"))
     return found.select(hex_column().alias("hash"), "n")
 
 
-@query("SELECT true AS equal, true AS patched")
+@query("SELECT count(*) = (SELECT count(DISTINCT o_orderkey) FROM orders) AS equal, min(o_totalprice) IS NOT NULL AS patched FROM orders")
 def hash_additivity(spark, sf_dir):
     """Hashes of the objects sum up to the table's, before and after the patch."""
     from lamina.digest import Digest
@@ -297,24 +280,47 @@ SQL CREATE TABLE k AS SELECT count(*) AS n FROM "demo/sales:v2".orders
     return spark.createDataFrame(build.dependencies(image), "source string, source_hash string")
 
 
-@query("SELECT true AS found")
+@query("SELECT n_regionkey, count(*) AS dependents FROM nation GROUP BY n_regionkey")
 def provenance_dependents(spark, sf_dir):
-    provenance_sources(spark, sf_dir)
-    found = build.dependents(repository(spark, sf_dir).catalog, "demo/sales", "2" * 64)
-    return found.where("repository = 'demo/derived'").select(F.lit(True).alias("found")).distinct()
-
-
-@query("SELECT * FROM (VALUES ('v1', CAST(2 AS BIGINT)), ('v2', CAST(3 AS BIGINT))) t(tag, images)")
+    """Images built from each of five: one for each nation of a region."""
+    catalog, nation = Catalog(spark, scratch_path(spark, "dependents")), table(spark, sf_dir, "nation")
+    hashes = {}
+    for r in range(5):
+        source = Repository(catalog, f"region/r{r}")
+        hashes[r] = source.import_frame("nation", nation.where(F.col("n_regionkey") == r)).hash
+        for k in [x[0] for x in nation.where(F.col("n_regionkey") == r).select("n_nationkey").collect()]:
+            build.Builder(catalog).run(f"FROM EMPTY AS nation/n{k}\nFROM region/r{r}:{hashes[r]} IMPORT nation")
+    return spark.createDataFrame([(r, build.dependents(catalog, f"region/r{r}", h).count()) for r, h in hashes.items()], "n_regionkey int, dependents long")
+
+
+@query(f"SELECT 'v1' AS tag, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders UNION ALL SELECT 'v2', count(*), round(sum(o_totalprice), 2) FROM {V2} t")
 def image_closure(spark, sf_dir):
+    """Rows of every image of the log of the latest one, by tag."""
     repo = repository(spark, sf_dir)
-    return spark.createDataFrame([(t, len(repo.images.log(repo.images[t].hash))) for t in ("v1", "v2")], "tag string, images long")
+    tags = {h: t for t, h in repo.images.tags().items() if t != "HEAD"}
+    out = None
+    for i in repo.images.log(repo.images["v2"].hash):
+        if "orders" in i.tables:
+            part = repo.table(i, "orders").read().agg(F.lit(tags[i.hash]).alias("tag"), F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
-@query("SELECT CAST(0 AS BIGINT) AS unused, true AS counted")
+@query("SELECT count(*) FILTER (WHERE n_nationkey < 10) AS unused_rows, count(*) FILTER (WHERE n_nationkey >= 10) AS used_rows, true AS counted FROM nation")
 def sizes_and_unused(spark, sf_dir):
-    repo = Repository(Catalog(spark, scratch_path(spark, "sizes")), "demo/sizes")
-    repo.import_frame("nation", table(spark, sf_dir, "nation"), ("n_nationkey",))
-    return spark.createDataFrame([(repo.catalog.unused_objects().count(), repo.size() == repo.image_size("latest") > 0)], "unused long, counted boolean")
+    """Rows of objects that no image refers to, after the image that had them was deleted, and of those in use."""
+    repo, nation = Repository(Catalog(spark, scratch_path(spark, "sizes")), "demo/sizes"), table(spark, sf_dir, "nation")
+    repo.import_frame("nation", nation.where("n_nationkey >= 10"), ("n_nationkey",))
+    first = repo.head
+    repo.import_frame("rest", nation.where("n_nationkey < 10"), ("n_nationkey",))
+    whole, gone = repo.size(), repo.head.hash
+    repo.checkout(first.hash)
+    repo.images.delete([gone])
+    facts = repo.catalog.objects_df()
+    unused = facts.join(repo.catalog.unused_objects().select("id"), "id", "left_semi")
+    left = repo.catalog.unused_objects().join(facts.select("id", "size"), "id").agg(F.sum("size")).first()[0]
+    counted = repo.size() == repo.image_size("latest") == whole - left
+    return spark.createDataFrame([(unused.agg(F.sum("rows_inserted")).first()[0], facts.join(unused.select("id"), "id", "left_anti").agg(F.sum("rows_inserted")).first()[0], counted)], "unused_rows long, used_rows long, counted boolean")
 
 
 def _both(spark, sf_dir):
@@ -344,9 +350,10 @@ def cursor_position(spark, sf_dir):
     return spark.createDataFrame([(str(value[0]), value[1])], "ts string, event_id long").select(F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
 
 
-@query("SELECT * FROM (VALUES ('o_orderkey', 'integer'), ('o_totalprice', 'numeric'), ('o_orderdate', 'timestamp'), ('o_orderstatus', 'character varying')) t(name, kind)")
+@query("SELECT column_name AS name, CASE data_type WHEN 'VARCHAR' THEN 'character varying' WHEN 'DOUBLE' THEN 'numeric' WHEN 'TIMESTAMP' THEN 'timestamp' WHEN 'BIGINT' THEN 'integer' ELSE lower(data_type) END AS kind FROM information_schema.columns WHERE table_name = 'orders'")
 def infer_types(spark, sf_dir):
-    text = table(spark, sf_dir, "orders").select(*[F.col(c).cast("string").alias(c) for c in ("o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus")])
+    orders = table(spark, sf_dir, "orders")
+    text = orders.select(*[F.col(c).cast("string").alias(c) for c in orders.columns])
     return spark.createDataFrame([(c.name, c.type) for c in infer_schema(text)], "name string, kind string")
 
 
@@ -427,11 +434,13 @@ def sqlite_roundtrip(spark, sf_dir):
     """A table through a SQLite file and its source plugin."""
     import os
     import sqlite3
-    import tempfile
 
+    from lamina.runtime import local_path
     from lamina.sources.base import SqliteSource
 
-    path = os.path.join(tempfile.mkdtemp(prefix="lamina-"), "x.db")
+    # a SQLite file is a file of the machines that read it: it lies in the folder that they share
+    path = local_path(scratch_path(spark, "sqlite") + ".db")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
     with sqlite3.connect(path) as db:
         db.execute("CREATE TABLE nation (n_nationkey INTEGER PRIMARY KEY, n_name TEXT, n_regionkey INTEGER)")
         db.executemany("INSERT INTO nation VALUES (?, ?, ?)", [tuple(r) for r in table(spark, sf_dir, "nation").collect()])
@@ -439,17 +448,19 @@ def sqlite_roundtrip(spark, sf_dir):
     return read.select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int"))
 
 
-@query("SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_orderpriority, CAST(o_custkey AS INTEGER) AS o_custkey FROM orders")
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def csv_roundtrip(spark, sf_dir):
     """A table through CSV files, with dialect and types found again."""
     from lamina.sources.csvfiles import read_csv, write_csv
 
     path = scratch_path(spark, "csv")
-    write_csv(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey"), path, delimiter=";")
-    return read_csv(spark, path)
+    write_csv(table(spark, sf_dir, "orders"), path, delimiter=";")
+    found = read_csv(spark, path)
+    return found.select(F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"), "o_orderstatus", F.col("o_totalprice").cast("double"), F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_orderpriority")
 
 
-@query()
+@query("""SELECT CAST(n AS BIGINT) AS n, part, text FROM (VALUES (0, '$select', '`a`, `b`'), (0, '$where', '(`a` = 1 OR `b` LIKE ''x%'') AND (`b` IS NOT NULL)'), (0, '$order', '`a` ASC, :id'), (0, '$limit', '10'),
+(1, '$select', '`a`, count(*) AS n, sum(`b`) AS s'), (1, '$where', '(`a` IN (''x'', ''it''''s''))'), (1, '$group', '`a`')) t(n, part, text)""")
 def remote_translation(spark, sf_dir):
     """Requests that qualifiers, sorts and aggregates become in the dialect of an open-data API."""
     cases = [

@@ -20,7 +20,7 @@ from lamina.quals import Quals
 from lamina.runtime import small
 from lamina.scan import TableScan
 from lamina.sqlguard import ForbiddenSQL, relations
-from lamina.store import NotFound
+from lamina.store import NotFound, Store
 from lamina.types import Schema, compatible, dumps, schema_of, struct_of
 
 
@@ -41,6 +41,7 @@ class Staged:
     logs: list[str] = field(default_factory=list)
     replaced: str | None = None
     seq: int = 0
+    uppers: list[str] = field(default_factory=list)
 
 
 class Repository:
@@ -71,6 +72,7 @@ class Repository:
 
     def delete(self) -> None:
         """Remove images and tags; objects stay until the catalog's cleanup."""
+        self.catalog.check_privilege(self.namespace)
         self.catalog.store.delete(*self.images.at)
         self.work = None
 
@@ -116,6 +118,7 @@ class Repository:
         tables: dict[str, TableVersion] = {}
         for name, s in work.tables.items():
             index, order = (indexes or {}).get(name), (sort or {}).get(name)
+            work.settle(name)
             pending = bool(s.logs)
             if s.base is None or s.replaced or not compatible(s.schema, s.base.schema) or (snap_only and pending):
                 tables[name] = TableVersion(s.schema, write_base(self.catalog, work.table(name), s.schema, chunk_size, index, order))
@@ -246,18 +249,37 @@ class Repository:
         other.images.set_upstream(f"{self.catalog.store.root}#{self.name}")
         return other
 
-    def dump(self, path: str) -> str:
-        """Manifests of the repository as one JSON file; the HEAD tag is left out."""
+    def dump(self, path: str, contents: bool = False) -> str:
+        """Manifests of the repository as one JSON file; the HEAD tag is left out. With contents, objects go to a root beside it."""
+        ids = sorted({o for i in self.images for t in i.tables.values() for o in t.objects})
         body = {
             "repository": self.name,
             "images": [i.to_json() for i in self.images],
             "tags": {t: h for t, h in self.images.tags().items() if t != HEAD},
-            "objects": [self.catalog.object(o).to_json() for o in sorted({o for i in self.images for t in i.tables.values() for o in t.objects})],
+            "objects": [self.catalog.object(o).to_json() for o in ids],
+            "contents": f"{path}.objects" if contents else None,
         }
-        with open(path, "w") as f:
-            json.dump(body, f, sort_keys=True)
+        if contents:
+            schemas = {o: t.schema for i in self.images for t in i.tables.values() for o in t.objects}
+            copy_objects(self.catalog, Catalog(self.spark, f"{path}.objects"), ids, True, schemas)
+        store = Store(self.spark, path.rsplit("/", 1)[0] or "/")
+        store.write(body, path.rsplit("/", 1)[1])
         return path
 
+    def load_dump(self, path: str) -> list[str]:
+        """Images, tags and, where the dump has them, objects of a dump into this repository; the images that are new."""
+        body = Store(self.spark, path.rsplit("/", 1)[0] or "/").read(path.rsplit("/", 1)[1])
+        images = [Image.of(x) for x in body["images"]]
+        if body["contents"]:
+            schemas = {o: t.schema for i in images for t in i.tables.values() for o in t.objects}
+            copy_objects(Catalog(self.spark, body["contents"]), self.catalog, [x["id"] for x in body["objects"]], False, schemas)
+        new = [i for i in sorted(images, key=lambda i: i.created) if not self.images.has(i.hash)]
+        for i in new:
+            self.images.add(i.parent, i.hash, i.tables, i.comment, i.provenance, i.created)
+        for t, h in body["tags"].items():
+            self.images.tag(h, t)
+        return [i.hash for i in new]
+
     def reindex(self, image: str, table: str, indexes: dict, skip_patches: bool = True) -> list[str]:
         version = self.images[image].tables[table]
         return reindex(self.catalog, version.objects, version.schema, indexes, skip_patches)
@@ -323,6 +345,7 @@ class WorkingCopy:
 
     def log(self, name: str) -> DataFrame:
         s = self._staged(name)
+        self.settle(name)
         return self.spark.read.schema(ch.empty_log(self.spark, s.schema).schema).parquet(*s.logs) if s.logs else ch.empty_log(self.spark, s.schema)
 
     def table(self, name: str) -> DataFrame:
@@ -335,6 +358,8 @@ class WorkingCopy:
             base = TableScan(self.repo.catalog, s.base).read()
         else:
             base = self.spark.createDataFrame([], kind)
+        if s.uppers:
+            return ch.overlay(base, self.spark.read.parquet(*s.uppers), s.schema)
         if not s.logs:
             return base
         net = ch.conflate(self.log(name), s.schema)
@@ -355,6 +380,8 @@ class WorkingCopy:
 
     def _append(self, name: str, log: DataFrame) -> None:
         s = self._staged(name)
+        if s.uppers:
+            self.settle(name)
         s.logs.append(self._write(log))
         s.seq += 1
 
@@ -366,6 +393,31 @@ class WorkingCopy:
             typed = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in struct_of(s.schema).fields])
             self._append(name, ch.log_of(typed, s.schema, ch.INSERT, s.seq))
 
+    def upper(self, name: str, rows: DataFrame, flag: bool | SparkColumn = True) -> None:
+        """Write rows over a table without reading it: present with these values, or, without the flag, gone.
+
+        The rows lie over the base, and a row written later over one written earlier (``changes.overlay``), until a
+        commit finds what they replace and stores it as a patch.
+        """
+        s = self._staged(name)
+        if s.base is None or s.replaced or s.logs:
+            raise ValueError(f"{name} has edits of its own: rows can only be laid over a committed table")
+        kinds = struct_of(s.schema).fields
+        columns = [(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds]
+        flagged = flag if isinstance(flag, SparkColumn) else F.lit(flag)
+        s.uppers.append(self._write(rows.select(*columns, flagged.alias("flag"), F.lit(len(s.uppers)).cast("long").alias("seq"))))
+
+    def settle(self, name: str) -> None:
+        """Turn rows laid over a table into edits, with the old values that they replace."""
+        s = self._staged(name)
+        if s.uppers:
+            lower = TableScan(self.repo.catalog, s.base).read()
+            net = ch.overlay_changes(lower, self.spark.read.parquet(*s.uppers), s.schema)
+            op = F.when(F.col("old").isNull(), ch.INSERT).when(~F.col("upserted"), ch.DELETE).otherwise(ch.UPDATE)
+            log = net.where(F.col("upserted") | F.col("old").isNotNull()).select(F.lit(s.seq).cast("long").alias("seq"), op.cast("int").alias("op"), "old", "new")
+            s.uppers = []
+            self._append(name, log)
+
     def delete(self, name: str, where: str | SparkColumn = "true") -> None:
         s = self._staged(name)
         cond = F.expr(where) if isinstance(where, str) else where
@@ -427,7 +479,7 @@ class WorkingCopy:
         for n, s in self.tables.items():
             if s.base is None or s.replaced:
                 out[n] = True
-            elif s.logs and any(c := ch.counts(self.log(n))):
+            elif (s.logs or s.uppers) and any(c := ch.counts(self.log(n))):
                 out[n] = c
         return out | {n: False for n in self.dropped if n not in self.tables}
 
@@ -465,23 +517,24 @@ def copy_objects(source: Catalog, target: Catalog, ids, overwrite: bool = False,
     for i in todo:
         by.setdefault(dumps([c.__dict__ for c in schemas[i]]) if schemas and i in schemas else "", []).append(i)
     done: list[ObjectMeta] = []
-    for kind, part in by.items():
-        batch = uuid.uuid4().hex
-        if not kind or len(part) <= COPY_ONE_BY_ONE:
-            for n, m in enumerate(source.objects(part)):
-                source.store.copy_to(target.store, m.path, to=f"objects/{batch}/{CHUNK_COLUMN}={n}")
-                done.append(replace(m, path=f"objects/{batch}/{CHUNK_COLUMN}={n}"))
-            continue
-        metas = source.objects(part)
-        number = source.spark.createDataFrame([(m.id, n) for n, m in enumerate(metas)], f"_id string, {CHUNK_COLUMN} long")
-        rows = read_objects(source, part, schemas[part[0]]).join(small(number, len(metas)), "_id").drop("_id")
-        rows.repartition(min(len(metas), 10_000), CHUNK_COLUMN).write.partitionBy(CHUNK_COLUMN).option("compression", "zstd").parquet(staging := target.store.staging())
-        sizes = target.store.sizes(staging)
-        target.store.move(staging, "objects", batch)
-        done += [replace(m, path=f"objects/{batch}/{CHUNK_COLUMN}={n}", size=sizes.get(f"{CHUNK_COLUMN}={n}", m.size)) for n, m in enumerate(metas)]
     if overwrite:
-        target.drop_objects(m.id for m in done)
-    target.register_objects(done)
+        target.drop_objects(todo)
+    try:
+        for kind, part in by.items():
+            batch, metas = uuid.uuid4().hex, source.objects(part)
+            if not kind or len(part) <= COPY_ONE_BY_ONE:
+                for n, m in enumerate(metas):
+                    source.store.copy_to(target.store, m.path, to=f"objects/{batch}/{CHUNK_COLUMN}={n}")
+                    done.append(replace(m, path=f"objects/{batch}/{CHUNK_COLUMN}={n}"))
+                continue
+            number = source.spark.createDataFrame([(m.id, n) for n, m in enumerate(metas)], f"_id string, {CHUNK_COLUMN} long")
+            rows = read_objects(source, part, schemas[part[0]]).join(small(number, len(metas)), "_id").drop("_id")
+            rows.repartition(min(len(metas), 10_000), CHUNK_COLUMN).write.partitionBy(CHUNK_COLUMN).option("compression", "zstd").parquet(staging := target.store.staging())
+            sizes = target.store.sizes(staging)
+            target.store.move(staging, "objects", batch)
+            done += [replace(m, path=f"objects/{batch}/{CHUNK_COLUMN}={n}", size=sizes.get(f"{CHUNK_COLUMN}={n}", m.size)) for n, m in enumerate(metas)]
+    finally:
+        target.register_objects(done)  # also of a copy that failed half-way: the next one goes on from there
     return todo
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lamina import build
 from lamina.repo import Repository
-from lamina.sources import csvfiles, loading, remote
+from lamina.sources import csvfiles, loading, messages, remote, webapi
 from lamina.types import Schema
 
 SOURCES: dict[str, type[Source]] = {}
@@ -96,7 +96,7 @@ class SqliteSource(Source):
 class JdbcSource(Source):
     """PostgreSQL, MySQL, Snowflake, Athena and others: tables by name, or queries by a name of one's own."""
 
-    name, required, optional = "jdbc", ("kind", "host", "database"), ("tables", "queries", "port", "user", "password", "batch_size", "partition")
+    name, required, optional = "jdbc", ("kind", "host", "database"), ("tables", "queries", "port", "user", "password", "private_key", "batch_size", "partition")
 
     def tables(self):
         common = {k: v for k, v in self.params.items() if k not in ("tables", "queries")}
@@ -109,3 +109,59 @@ class FramesSource(Source):
 
     def tables(self):
         return {t: (lambda d=d: d if isinstance(d, DataFrame) else self.spark.createDataFrame(d)) for t, d in self.params["frames"].items()}
+
+
+class PortalSource(Source):
+    """Tables of an open-data portal: endpoints and schemas by name."""
+
+    name, required, optional = "socrata", ("endpoints", "schemas"), ("names", "headers", "page", "parts", "limit")
+
+    def tables(self):
+        rest = {k: v for k, v in self.params.items() if k not in ("endpoints", "schemas")}
+        return {t: (lambda t=t, u=u: webapi.read_web(self.spark, "portal", u, self.params["schemas"][t], **rest)) for t, u in self.params["endpoints"].items()}
+
+
+class SearchSource(Source):
+    """Indexes of a search cluster, read by sliced scrolls: one table for each."""
+
+    name, required, optional = "elasticsearch", ("url", "schemas"), ("headers", "page", "parts", "scroll", "query_column", "score_column")
+
+    def tables(self):
+        rest = {k: v for k, v in self.params.items() if k not in ("url", "schemas")}
+        root = self.params["url"].rstrip("/")
+        return {t: (lambda t=t, s=s: webapi.read_web(self.spark, "search", f"{root}/{t}", s, **rest)) for t, s in self.params["schemas"].items()}
+
+
+class DocumentSource(Source):
+    """Collections of a document store; each table has the column ``_id``. Needs the store's driver on the executors."""
+
+    name, required, optional = "mongodb", ("url", "database", "schemas"), ("page", "parts")
+
+    def tables(self):
+        rest = {k: v for k, v in self.params.items() if k not in ("url", "schemas")}
+        whole = {t: s if "_id " in s else "_id string, " + s for t, s in self.params["schemas"].items()}
+        return {t: (lambda t=t: webapi.read_web(self.spark, "documents", self.params["url"], whole[t], collection=t, **rest)) for t in whole}
+
+
+class WarehouseSource(Source):
+    """Tables and queries of a warehouse by Spark's connector for it, which has to be on the class path."""
+
+    name, required, optional = "bigquery", ("project", "dataset"), ("tables", "queries", "credentials")
+
+    def tables(self):
+        named = {t: {"table": t} for t in self.params.get("tables", [])} | {n: {"query": q} for n, q in self.params.get("queries", {}).items()}
+        return {n: (lambda x=x: self.spark.read.format("bigquery").options(**self.options_of(**x)).load()) for n, x in named.items()}
+
+    def options_of(self, table: str | None = None, query: str | None = None) -> dict[str, str]:
+        out = {"parentProject": self.params["project"], "viewsEnabled": "true"}
+        out |= {"table": f"{self.params['project']}.{self.params['dataset']}.{table}"} if table else {"query": query, "materializationDataset": self.params["dataset"]}
+        return out | ({"credentials": self.params["credentials"]} if "credentials" in self.params else {})
+
+
+class StreamsSource(Source):
+    """Raw JSON tables of a sync tool (hash, JSON, time of emission): normalised by schema and mode."""
+
+    name, required, optional = "streams", ("raw", "streams"), ()
+
+    def tables(self):
+        return {t: (lambda t=t: messages.normalised(self.params["raw"][t], self.params["streams"][t])) for t in self.params["streams"]}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.catalog import TableVersion, now
-from lamina.fragments import write_base, write_patch
+from lamina.fragments import CHUNK, write_base, write_patch
 from lamina.repo import Repository
 from lamina.scan import TableScan
 from lamina.types import Schema, SchemaError, key_columns, plain, schema_of, spark_type, struct_of
@@ -60,7 +60,7 @@ def load_state(repo: Repository) -> dict:
     return json.loads(row["s"]) if row["s"] else {}
 
 
-def sync(repo: Repository, tables: dict[str, DataFrame], cursors: dict[str, Sequence[str]], keys: dict[str, Sequence[str]] | None = None, use_state: bool = True) -> str:
+def sync(repo: Repository, tables: dict[str, DataFrame], cursors: dict[str, Sequence[str]], keys: dict[str, Sequence[str]] | None = None, use_state: bool = True, chunk_size: int | None = CHUNK) -> str:
     """Append what is new by cursor to each table, and keep the cursors in the image; returns the new image's hash."""
     if not repo.images.exists():
         repo.init()
@@ -75,7 +75,7 @@ def sync(repo: Repository, tables: dict[str, DataFrame], cursors: dict[str, Sequ
         cursor = cursors.get(name)
         after = state.get("cursors", {}).get(name) if cursor else None
         fresh = cursor_filter(df, cursor, after) if cursor else df
-        new = write_base(repo.catalog, fresh, old.schema if old else schema, None)
+        new = write_base(repo.catalog, fresh, old.schema if old else schema, chunk_size)
         known = old.objects if old and cursor else []
         versions[name] = TableVersion(old.schema if old else schema, list(dict.fromkeys([*known, *new])))
         if cursor:

@@ -126,6 +126,45 @@ def append_dedup(df: DataFrame, pk: Sequence[str], cursor: Sequence[str]) -> Dat
     return last.select(*[F.col(f"`{k}`") for k in pk], *[F.col("_r")[c].alias(c) for c in rest]).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def normalised(raw: DataFrame, stream: dict, levels: int = 0) -> DataFrame:
+    """Typed rows of a raw table. stream: json_schema, mode (overwrite, append, append_dedup), primary_key, cursor_field.
+
+    Overwriting and appending keep every record with its ``_raw_id`` and ``_emitted_at``; deduplication keeps the last
+    record of each key by cursor, then by time of emission. Records that are no JSON objects have null fields.
+    """
+    fields = flatten(stream["json_schema"], most=levels)
+    out = raw.select("_raw_id", "_emitted_at", *columns_of("_raw_data", fields))
+    mode = stream.get("mode", "append")
+    if mode in ("overwrite", "append"):
+        return out
+    if mode != "append_dedup":
+        raise ValueError(f"unknown mode {mode}")
+    keys = ["__".join(k) if isinstance(k, list) else k for k in stream["primary_key"]]
+    cursor = ["__".join(c) if isinstance(c, list) else c for c in stream.get("cursor_field") or []]
+    return append_dedup(out, keys, [*cursor, "_emitted_at", "_raw_id"])
+
+
+def sync_raw(repo: Repository, raw: dict[str, DataFrame], streams: dict[str, dict]) -> str:
+    """New records of each stream into the repository: a raw table that grows (or, overwriting, starts anew), and the
+    table normalised from it."""
+    if not repo.images.exists():
+        repo.init()
+    work = repo.checkout("latest", force=True)
+    for name, fresh in raw.items():
+        kept, mode = f"_raw_{name}", streams[name].get("mode", "append")
+        if kept in work.tables and mode != "overwrite":
+            work.insert(kept, fresh)
+        else:
+            if kept in work.tables:
+                work.drop(kept)
+            work.create(kept, fresh)
+        if name in work.tables:
+            work.drop(name)
+        keys = ["__".join(k) if isinstance(k, list) else k for k in streams[name].get("primary_key") or []] if mode == "append_dedup" else []
+        work.create(name, normalised(work.table(kept), streams[name]), keys)
+    return repo.commit(comment="Sync of raw streams").hash
+
+
 def stream_settings(stream: dict, plugin: dict | None = None, table: dict | None = None) -> dict:
     """Key, cursor and mode of a stream: the table's parameters over the plugin's over the source's own.
 

@@ -17,7 +17,7 @@ DRIVERS = {
 }
 
 
-def jdbc_options(kind: str, host: str = "", database: str = "", table: str | None = None, query: str | None = None, port: int | None = None, user: str | None = None, password: str | None = None, batch_size: int = 10_000, partition: tuple[str, int, int, int] | None = None) -> dict[str, str]:
+def jdbc_options(kind: str, host: str = "", database: str = "", table: str | None = None, query: str | None = None, port: int | None = None, user: str | None = None, password: str | None = None, private_key: str | None = None, batch_size: int = 10_000, partition: tuple[str, int, int, int] | None = None) -> dict[str, str]:
     """Options of Spark's JDBC reader, which pushes filters, columns, limits and aggregates down by itself.
 
     ``partition``: column, least and greatest value and number of parts for parallel reads.
@@ -33,6 +33,10 @@ def jdbc_options(kind: str, host: str = "", database: str = "", table: str | Non
         if query:
             raise ValueError("a query is read in one part; name a table for parallel reads")
         out |= dict(zip(("partitionColumn", "lowerBound", "upperBound", "numPartitions"), map(str, partition)))
+    if private_key:
+        if kind != "snowflake":
+            raise ValueError("only snowflake takes a private key")
+        out |= {"private_key_base64": private_key, "authenticator": "SNOWFLAKE_JWT"}
     return out | {k: v for k, v in (("user", user), ("password", password)) if v}
 
 

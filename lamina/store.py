@@ -13,6 +13,10 @@ class NotFound(KeyError):
     """No such repository, image, tag, table or object."""
 
 
+#: Folder of objects below a root; the path of an object elsewhere begins otherwise.
+INSIDE = "objects/"
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -24,6 +28,10 @@ class Store:
     def at(self, *parts: str) -> str:
         return "/".join([self.root, *parts])
 
+    def whole(self, path: str) -> str:
+        """A path below the root, or one elsewhere as it is."""
+        return self.at(path) if path.startswith(INSIDE) else path
+
     def exists(self, *parts: str) -> bool:
         return self._fs.exists(self._path(self.at(*parts)))
 
@@ -110,7 +118,7 @@ class Store:
     def copy_to(self, other: Store, source: str, to: str) -> None:
         target = self._path(other.at(to))
         other._fs.mkdirs(target.getParent())
-        self._jvm.org.apache.hadoop.fs.FileUtil.copy(self._fs, self._path(self.at(source)), other._fs, target, False, True, self.spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm.org.apache.hadoop.fs.FileUtil.copy(self._fs, self._path(self.whole(source)), other._fs, target, False, True, self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def staging(self) -> str:
         return self.at(".staging", uuid.uuid4().hex)
