@@ -5,8 +5,10 @@ in order of ``doc_id``, give each partition its global offset. The second stream
 fixed windows at multiples of ``window`` tokens of the whole concatenation. Windows that lie within one partition are
 finished there; of a window that crosses partitions each leaves a boundary record, and only those are shuffled again.
 
-Order is (doc_id, text), null ids first; rows equal in both are interchangeable. Null and empty texts have no tokens and
-appear in no window. The last window may be short. Columns besides doc_id and text play no part.
+Order is (doc_id, hash of text, text), null ids as the least 64-bit integer; rows equal in all are interchangeable.
+Partitions are ranges of (doc_id, hash), so an id, or null, that many rows share is cut into several as well; only rows
+that are equal in both stay together. Null and empty texts have no tokens and appear in no window. The last window may be
+short. Ids are numbers; columns besides doc_id and text play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +16,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ SCHEMA = "window_id long, n_tokens int, doc_ids array<long>, starts array<int>,
 ARROW = pa.schema([("window_id", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("text", pa.string())])
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Least id stands for null: order is the same, and arrays of ids stay plain.
+#: Stands for null among ids.
+NONE = -(2**63)
 BATCH_ROWS = 64
 #: Bytes of text that numpy works on at a time.
 SLICE = 1 << 20
@@ -52,12 +54,51 @@ def count_tokens(column) -> np.ndarray:
 
 
 def counted(docs: DataFrame) -> DataFrame:
+    """(id, th, n) of each document."""
+
     def run(batches):
         for b in batches:
-            n = [count_tokens(b.column(1).slice(start, length)) for start, length in slices(b.column(1), SLICE)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], ["doc_id", "n"])
+            n = [count_tokens(b.column(2).slice(start, length)) for start, length in slices(b.column(2), SLICE)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], ["id", "th", "n"])
+
+    return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, n long")
+
+
+def placed(ids: np.ndarray, ths: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Number of bounds (id, hash), which are sorted, that lie before each row."""
+    own, first, several = np.unique(at[0], return_index=True, return_counts=True)
+    pos = np.searchsorted(own, ids)
+    out = np.append(first, len(at[0]))[pos]
+    for i in np.unique(pos[(pos < len(own)) & np.isin(ids, own[several > 1])]):
+        here = (pos == i) & (ids == own[i])
+        out[here] += np.searchsorted(at[1][first[i] : first[i] + several[i]], ths[here])
+    return out
+
+
+def place(at: tuple[np.ndarray, np.ndarray]):
+    """Column of the bucket of (id, th)."""
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long")
+    def run(ids: pa.Array, ths: pa.Array) -> pa.Array:
+        return pa.array(placed(ids.to_numpy(), ths.to_numpy(), at).astype(np.int32))
+
+    run.__annotations__ = {"ids": pa.Array, "ths": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "int")("id", "th")
+
+
+def ranges(counts: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds (id, hash) of fine ranges: quantiles of ids, and cuts within every id that has much of the tokens."""
+    if n == 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    most = np.int64(2**63 - 1)
+    found = {(int(x), int(most)) for x in counts.stat.approxQuantile("id", [i / (FINE * n) for i in range(1, FINE * n)], 1 / (2 * FINE * n))}
+    share = total / n
+    for r in counts.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") > share / 2).collect():  # at most 2n
+        m = math.ceil(r["n"] / share * FINE)
+        found |= {(r["id"], -(2**63) + (k << 64) // m) for k in range(1, m)} | {(r["id"], int(most))}
+        if r["id"] > NONE:
+            found.add((r["id"] - 1, int(most)))
+    bounds = sorted(found)
+    return np.array([b for b, _ in bounds], np.int64), np.array([t for _, t in bounds], np.int64)
 
 
 def cutter(prefix: np.ndarray, window: int, edges: bool):
@@ -115,31 +156,24 @@ def cutter(prefix: np.ndarray, window: int, edges: bool):
 
 def pack(docs: DataFrame, window: int = WINDOW, per_partition: int = PER_PARTITION) -> DataFrame:
     """Windows of ``window`` tokens: id, tokens, documents in order, where each begins, and the tokens joined by blanks."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     counts = cut(counted(docs))
     total = counts.agg(F.sum("n")).first()[0] or 0
     n = min(MOST_PARTITIONS, max(1, math.ceil(total / per_partition)))
-    fine = np.array(sorted({int(x) for x in counts.stat.approxQuantile("doc_id", [i / (FINE * n) for i in range(1, FINE * n)], 1 / (2 * FINE * n))}) if n > 1 else [], np.int64)
-
-    def place(bounds: np.ndarray, name: str):
-        @F.pandas_udf("int")
-        def at(ids: pd.Series) -> pd.Series:
-            return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), side="left")))
-
-        return at(name)
-
-    sums = {r["b"]: r["n"] for r in counts.groupBy(place(fine, "doc_id").alias("b")).agg(F.sum("n").alias("n")).collect()}
-    # ranges of ids with about equal tokens
-    bounds, prefix, held = [], [0], 0
-    for i in range(len(fine) + 1):
+    fine = ranges(counts, n, total)
+    sums = {r["b"]: r["n"] for r in counts.groupBy(place(fine).alias("b")).agg(F.sum("n").alias("n")).collect()}
+    # neighbours are joined to ranges with about equal tokens
+    chosen, prefix, held = [], [0], 0
+    for i in range(len(fine[0]) + 1):
         held += sums.get(i, 0)
-        if i < len(fine) and held >= total / n:
-            bounds.append(fine[i])
+        if i < len(fine[0]) and held >= total / n:
+            chosen.append(i)
             prefix.append(prefix[-1] + held)
             held = 0
-    prefix, bounds = np.array([*prefix, prefix[-1] + held], np.int64), np.array(bounds, np.int64)
-    ordered = docs.select(place(bounds, "doc_id").alias("bucket"), "doc_id", "text").repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "text")
+    prefix = np.array([*prefix, prefix[-1] + held], np.int64)
+    bucket = place((fine[0][chosen], fine[1][chosen])).alias("bucket")
+    ordered = docs.select(bucket, "doc_id", "id", "th", "text").repartitionById(len(chosen) + 1, F.col("bucket")).sortWithinPartitions("bucket", "id", "th", "text").select("bucket", "doc_id", "text")
     whole = ordered.mapInArrow(cutter(prefix, window, False), SCHEMA)
     pieces = ordered.mapInArrow(cutter(prefix, window, True), SCHEMA)
     joined = pieces.groupBy("window_id").agg(F.sort_array(F.collect_list(F.struct(F.element_at("starts", 1).alias("s"), "n_tokens", "doc_ids", "starts", "text"))).alias("p"))

@@ -163,7 +163,7 @@ def test_line_dedup_of_nothing(empty):
 
 
 def brute_pack(rows, window):
-    order = sorted(((r[0], r[1]) for r in rows if r[1]), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    order = sorted(((r[0], r[1]) for r in rows if r[1]), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))  # texts of one id are equal here
     flat = [(d, i, w) for i, (d, t) in enumerate(order) for w in t.encode().split()]
     out = []
     for at in range(0, len(flat), window):
@@ -179,6 +179,34 @@ def test_packing_matches_brute_force(spark, hard, window, per):
     assert got == brute_pack(hard_rows(), window)
 
 
+def test_packing_cuts_hot_ids(spark):
+    r = random.Random(2)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, prose(r, 30) + f" {i}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    windows = packing.pack(docs, 50, 1000)
+    by = {r.window_id: r for r in windows.collect()}
+    assert sorted(by) == list(range(len(by))) and all(w.n_tokens == 50 for i, w in by.items() if i < len(by) - 1)
+    # windows in order give back every text, ids in order and null first
+    order = [(d, w.text.split()[a:z]) for i in sorted(by) for w in [by[i]] for d, a, z in zip(w.doc_ids, w.starts, [*w.starts[1:], w.n_tokens])]
+    ids = [d for d, _ in order]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))
+    assert sorted(w for _, part in order for w in part) == sorted(w for _, t in rows for w in t.split())
+    shared = docs.select(F.coalesce("doc_id", F.lit(packing.NONE)).alias("id"), F.xxhash64("text").alias("th"), "text")
+    counts = packing.counted(shared)
+    total = counts.agg(F.sum("n")).first()[0]
+    at = packing.ranges(counts, 20, total)
+    parts = [x["n"] for x in counts.groupBy(packing.place(at).alias("b")).agg(F.sum("n").alias("n")).collect()]
+    assert max(parts) < total / 20  # although two ids have a third each
+
+
+def test_packing_places_like_tuples():
+    r = random.Random(5)
+    bounds = sorted({(r.randrange(5), r.choice([2**63 - 1, r.randrange(-9, 9)])) for _ in range(12)})
+    rows = [(r.randrange(-1, 7), r.randrange(-12, 12)) for _ in range(500)]
+    got = packing.placed(*(np.array(x, np.int64) for x in zip(*rows)), tuple(np.array(x, np.int64) for x in zip(*bounds)))
+    assert got.tolist() == [sum(b < x for b in bounds) for x in rows]
+
+
 def test_packing_of_nothing(spark, empty):
     assert packing.pack(empty).count() == 0
     assert packing.pack(spark.createDataFrame([(None, None), (1, ""), (2, "  ")], "doc_id long, text string")).count() == 0
