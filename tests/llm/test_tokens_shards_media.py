@@ -1,8 +1,11 @@
 import base64
+import io
 import random
+import zipfile
 
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from lamina.llm import media, sharding, tokencount
 
@@ -90,6 +93,54 @@ def test_shards_of_hard_rows(hard, empty):
     assert sharding.shards(empty, ["lang", "doc_id"], 10).count() == 0
 
 
+def test_registered_shards_split_at_every_size(spark):
+    out = sharding.QUERIES["op1_kd_sharding"](spark, "/root/testdata/sf0.01")
+    sizes = {x.shard: x.b for x in out.groupBy("shard").agg(F.sum("bytes").alias("b")).collect()}
+    assert len(sizes) >= 32 and sorted(sizes) == list(range(len(sizes)))
+    total = sum(sizes.values())
+    assert out.count() == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
+    assert sum(v for v in sizes.values() if v <= total // sharding.LEAST_SHARDS) > 0.9 * total  # others are single documents
+
+
+def test_shards_of_fractions_and_times(spark):
+    r = random.Random(4)
+    rows = [(i, "x" * 10, i / 1000 + 0.0001, f"2024-01-01 00:00:00.{i:06d}") for i in range(64)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, f double, t string").withColumn("t", F.col("t").cast("timestamp"))
+    for d in ("f", "t"):
+        got = {x.doc_id: x.shard for x in sharding.shards(docs, [d], 80).collect()}
+        assert [got[i] for i in range(64)] == [i // 8 for i in range(64)]
+
+
+@pytest.mark.parametrize("zip64", [False, True])
+def test_media_shares_of_a_directory(tmp_path, zip64):
+    """Every member belongs to exactly one share, however many there are; marks inside names and comments don't mislead."""
+    path = tmp_path / "a.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for i in range(300):
+            info = zipfile.ZipInfo(f"{i} " + ("PK\x01\x02" * (i % 5)) + "é" * (i % 3))
+            info.comment = b"PK\x01\x02" + b"x" * (i % 60)
+            with z.open(info, "w", force_zip64=zip64) as f:
+                f.write(f"payload {i}".encode())
+    data = path.read_bytes()
+    with zipfile.ZipFile(path) as z:
+        want = [(i.filename, i.header_offset, i.CRC) for i in z.infolist()]
+    for shares in (1, 2, 7, 64, 1000):
+        got = [(m.filename, m.header_offset, m.CRC) for k in range(shares) for m in media.members_of(io.BytesIO(data), len(data), k, shares)]
+        assert got == want, shares
+    moved = io.BytesIO(b"something before" + data)
+    assert [m.header_offset - 16 for m in media.members_of(moved, len(data) + 16, 0, 1)] == [o for _, o, _ in want]
+
+
+def test_media_archives_of_equal_names(spark, tmp_path):
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        with zipfile.ZipFile(tmp_path / folder / "same.zip", "w") as z:
+            z.writestr("m", folder)
+    got = {(x.archive, bytes(x.payload).decode()) for x in media.read_members(spark, f"file://{tmp_path}").collect()}
+    assert got == {("x/same.zip", "x"), ("y/same.zip", "y")}
+
+
 def test_media_round_trip(spark, hard, tmp_path):
     path = f"file://{tmp_path}/zips"
     n = media.write_archives(hard, path, "text", ["doc_id", "lang"])
