@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm.textnp import mix
-from lamina.runtime import scratch_path, table
+from lamina.runtime import input_bytes, scratch_path, table
 
 VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text whose documents share a dictionary, and characters that numpy works on at a time.
 BLOCK, SLICE = 48 << 20, 1 << 20
+#: Bytes of blocks' files for each task that encodes pre-tokens.
+PART_BYTES = 64 << 20
 WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
@@ -223,14 +225,13 @@ def counts(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLO
     made = spark.read.parquet(path)
 
     def encode(batches):
-        enc, seen = encoder(vocabulary), {}
+        enc, last, n_last = encoder(vocabulary), None, 0
         for b in batches:
             found = []
             for w in b.column(2).to_pylist():
-                n = seen.get(w)
-                if n is None:
-                    n = seen[w] = len(enc.encode_ordinary(w))
-                found.append(n)
+                if w != last:  # equal words come together, so nothing is kept of the others
+                    last, n_last = w, len(enc.encode_ordinary(w))
+                found.append(n_last)
             if not found:
                 continue
             key, local, n = b.column(0).to_numpy(), b.column(1).to_numpy(), np.array(found, np.int32)
@@ -240,8 +241,8 @@ def counts(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLO
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts), (pa.int64(), pa.binary(), pa.binary()))], ["block", "local", "pieces"])
 
     words = made.where("word IS NOT NULL").select("block", "local", "word")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    pieces = words.repartition(n, "word").mapInArrow(encode, "block long, local binary, pieces binary")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1, -(-input_bytes(made) // PART_BYTES))
+    pieces = words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(encode, "block long, local binary, pieces binary")
     rows = made.where("row IS NOT NULL").select("block", "doc_id", "row")
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -255,6 +256,7 @@ def counts(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLO
         sums = [unpack(plain(r.as_buffer()), by) for c in left.column("row").chunks for r in c]
         return pa.table([left.column("doc_id"), pa.array(sums, pa.int64())], ["doc_id", "n_tokens"])
 
+    rows, pieces = rows.repartition(n, "block"), pieces.repartition(n, "block")
     return rows.groupBy("block").cogroup(pieces.groupBy("block")).applyInArrow(total, "doc_id long, n_tokens long")
 
 
