@@ -10,6 +10,9 @@ others stay in a distributed table that documents' remaining words are joined to
 
 The tables of weights have a power of two of rows, ``ROWS`` times the root of the corpus's number of tokens at least.
 
+Slices are dealt to the rounds by partition and place, so the weights depend a little on how the input is split; scores
+of one model don't.
+
 Training is one epoch in ``ROUNDS`` synchronised parts: in each, every partition takes gradient steps on its slices
 of text, starting from the shared weights, and sends the rows of weights that it touched; rows are averaged by how often
 each was used, streamed by block of rows, so what moves grows with the corpus and memory doesn't. Every document's
@@ -40,6 +43,8 @@ ROWS = 2
 #: Words whose counts travel to the workers; the others' are joined.
 KNOWN = 1 << 18
 ROUNDS, BATCH, RATE, CLIP = 2, 4096, 0.25, 12.0
+#: Weight of slots without a word, and the least of any weight: no probability leaks to them.
+NEVER = -30.0
 #: Rows of weights that travel together, and bytes of a slice of text.
 BLOCK, SLICE = 1024, 1 << 20
 #: Parts at least in which a block is averaged first.
@@ -69,7 +74,7 @@ class Model:
         self.cw = np.zeros((1 << self.class_bits, CLASSES), np.float32)
         self.ww = np.zeros((1 << self.word_bits, SLOTS), np.float32)
         self.wb = np.zeros((CLASSES, SLOTS), np.float32)
-        self.wb[:-1][np.arange((CLASSES - 1) * SLOTS).reshape(-1, SLOTS) >= len(vocabulary)] = -30
+        self.wb[:-1][np.arange((CLASSES - 1) * SLOTS).reshape(-1, SLOTS) >= len(vocabulary)] = NEVER
         self.squares = [np.full(len(x), 1.0, np.float32) for x in (self.cw, self.ww, self.wb)]
 
     def tables(self) -> list[np.ndarray]:
@@ -166,7 +171,7 @@ class Model:
                 row, count = key[starts], np.diff(starts, append=len(key))
                 grad = np.add.reduceat(g.take(order, 0), starts, axis=0)
                 self.squares[t][row] += (grad**2).mean(1)
-                w[row] = np.clip(w[row] - (RATE / np.sqrt(self.squares[t][row]))[:, None] * grad, -CLIP, CLIP)
+                w[row] = np.clip(w[row] - (RATE / np.sqrt(self.squares[t][row]))[:, None] * grad, NEVER, CLIP)
                 used[t][row] += count
 
 
