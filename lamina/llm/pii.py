@@ -17,8 +17,12 @@ repeated rows included; offsets count code points; an empty table gives no rows;
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+import inspect
 import random
 import string
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm.mixing import slices
-from lamina.runtime import table
+from lamina.runtime import shared_dir, table
+from lamina.store import Store
 
 KINDS = ("email", "phone", "ip", "card", "national_id", "secret")
 LABELS, EMBED, HIDDEN = len(KINDS) + 1, 8, 12
@@ -173,71 +178,93 @@ def emissions(p: dict[str, np.ndarray], symbols: np.ndarray, sizes: np.ndarray)
 
 
 def _gradients(p: dict[str, np.ndarray], symbols: np.ndarray, gold: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """CRF loss per character and its gradient; symbols and gold (T, B), all of one length."""
+    """CRF loss per character and its gradient; symbols and gold (T, B), all of one length.
+
+    Both directions go side by side, the backward one over reversed characters; inputs are projected for all steps at once.
+    """
     steps, n = symbols.shape
-    kept = {}
-    em = np.zeros((steps, LABELS, n), np.float32) + p["bias"][:, None]
-    for side in "fb":
-        order = range(steps) if side == "f" else range(steps - 1, -1, -1)
-        w = p["lstm_" + side]
-        xs, zs, cs, raw = np.zeros((steps, EMBED + HIDDEN + 1, n), np.float32), np.empty((steps, 4 * HIDDEN, n), np.float32), np.zeros((steps, HIDDEN, n), np.float32), np.zeros((steps, HIDDEN, n), np.float32)
-        h = c = np.zeros((HIDDEN, n), np.float32)
-        for t in order:
-            xs[t, :EMBED], xs[t, EMBED:-1], xs[t, -1] = p["embed"][:, symbols[t]], h, 1
-            z = w @ xs[t]
-            gates(z)
-            raw[t] = c  # state before
-            c = c * z[HIDDEN : 2 * HIDDEN] + z[:HIDDEN] * z[3 * HIDDEN :]
-            h = np.clip(c, -1, 1) * z[2 * HIDDEN : 3 * HIDDEN]
-            zs[t], cs[t] = z, c
-            em[t] += p["out_" + side] @ h
-        kept[side] = (order, xs, zs, cs, raw)
-    # forward and backward sums of the chain
-    lse = lambda a, ax: (m := a.max(ax, keepdims=True)).squeeze(ax) + np.log(np.exp(a - m).sum(ax))
-    tr = p["trans"][:, :, None]
-    alpha, beta = np.empty_like(em), np.zeros_like(em)
-    alpha[0] = em[0] + p["first"][:, None]
-    for t in range(1, steps):
-        alpha[t] = em[t] + lse(alpha[t - 1][:, None] + tr, 0)
+    kind = p["embed"].dtype
+    w = np.stack([p["lstm_f"], p["lstm_b"]])
+    wx, wh, o = w[:, :, :EMBED], np.ascontiguousarray(w[:, :, EMBED:-1]), np.stack([p["out_f"], p["out_b"]])
+    emb = p["embed"][:, symbols].transpose(1, 0, 2)  # (T, EMBED, B)
+    emb = np.stack([emb, emb[::-1]], 1)  # (T, 2, EMBED, B)
+    each = np.matmul(wx, p["embed"]) + w[:, :, -1:]  # every symbol's share of the gates
+    zs = np.stack([each[0].take(symbols, 1), each[1].take(symbols[::-1], 1)]).transpose(2, 0, 1, 3).copy()
+    cs, hs = np.zeros((steps + 1, 2, HIDDEN, n), kind), np.zeros((steps + 1, 2, HIDDEN, n), kind)
+    act = np.empty((steps, 2, HIDDEN, n), kind)
+    for t in range(steps):
+        z = zs[t]
+        if t:
+            z += np.matmul(wh, hs[t])
+        s = z[:, : 3 * HIDDEN]
+        s *= 0.25
+        s += 0.5
+        np.clip(s, 0, 1, out=s)
+        a = z[:, 3 * HIDDEN :]
+        np.clip(a, -1, 1, out=a)
+        c = cs[t + 1]
+        np.multiply(cs[t], z[:, HIDDEN : 2 * HIDDEN], out=c)
+        c += z[:, :HIDDEN] * a
+        np.clip(c, -1, 1, out=act[t])
+        np.multiply(act[t], z[:, 2 * HIDDEN : 3 * HIDDEN], out=hs[t + 1])
+    each = np.matmul(o, hs[1:])  # (T, 2, LABELS, B)
+    em = each[:, 0] + each[::-1, 1] + p["bias"][:, None]
+    # forward and backward sums of the chain, in numbers scaled to one at each step
+    tr = np.exp(p["trans"])
+    peak = em.max(1, keepdims=True)
+    e = np.exp(em - peak)
+    alpha, beta, scale_t = np.empty_like(em), np.ones_like(em), np.empty((steps, 1, n), kind)
+    x = e[0] * np.exp(p["first"])[:, None]
+    for t in range(steps):
+        if t:
+            x = e[t] * (tr.T @ alpha[t - 1])
+        scale_t[t] = x.sum(0)
+        np.divide(x, scale_t[t], out=alpha[t])
     for t in range(steps - 2, -1, -1):
-        beta[t] = lse(tr + (em[t + 1] + beta[t + 1])[None], 1)
-    z = lse(alpha[-1], 0)
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    dem = np.exp(alpha + beta - z)
+        beta[t] = tr @ (e[t + 1] * beta[t + 1])
+        beta[t] /= scale_t[t + 1]
+    z = (np.log(scale_t) + peak).sum((0, 1))
+    g: dict[str, np.ndarray] = {}
+    dem = alpha * beta
     tt, bb = np.meshgrid(np.arange(steps), np.arange(n), indexing="ij")
     dem[tt, gold, bb] -= 1
     scale = 1 / (steps * n)
     g["first"] = dem[0].sum(1) * scale
-    both = np.exp(alpha[:-1, :, None] + tr[None] + (em[1:] + beta[1:])[:, None] - z).sum((0, 3))
+    right = e[1:] * beta[1:] / scale_t[1:]
+    both = tr * np.tensordot(alpha[:-1], right, axes=((0, 2), (0, 2)))
     np.subtract.at(both, (gold[:-1].ravel(), gold[1:].ravel()), 1)
-    g["trans"] = (both * scale).astype(np.float32)
+    g["trans"] = (both * scale).astype(kind)
     score = em[tt, gold, bb].sum(0) + p["first"][gold[0]] + p["trans"][gold[:-1], gold[1:]].sum(0)
     loss = float((z - score).sum() * scale)
     dem *= scale
     g["bias"] = dem.sum((0, 2))
-    dembed = np.zeros((steps, EMBED, n), np.float32)
-    for side, (order, xs, zs, cs, raw) in kept.items():
-        w, o = p["lstm_" + side], p["out_" + side]
-        dh = np.zeros((HIDDEN, n), np.float32)
-        dc = np.zeros((HIDDEN, n), np.float32)
-        for t in reversed(order):
-            zt = zs[t]
-            i, f, q, a = zt[:HIDDEN], zt[HIDDEN : 2 * HIDDEN], zt[2 * HIDDEN : 3 * HIDDEN], zt[3 * HIDDEN :]
-            act = np.clip(cs[t], -1, 1)
-            g["out_" + side] += dem[t] @ (q * act).T
-            d = o.T @ dem[t] + dh
-            dcell = dc + d * q * (np.abs(cs[t]) < 1)
-            dz = np.concatenate([dcell * a, dcell * raw[t], d * act, dcell * i])
-            s = dz[: 3 * HIDDEN]
-            s *= 0.25 * ((zt[: 3 * HIDDEN] > 0) & (zt[: 3 * HIDDEN] < 1))
-            dz[3 * HIDDEN :] *= np.abs(a) < 1
-            g["lstm_" + side] += dz @ xs[t].T
-            dx = w.T @ dz
-            dembed[t] += dx[:EMBED]
-            dh, dc = dx[EMBED:-1], dcell * f
+    dem = np.stack([dem, dem[::-1]], 1)  # (T, 2, LABELS, B)
+    dout = np.matmul(dem, hs[1:].transpose(0, 1, 3, 2)).sum(0)
+    dhs = np.matmul(o.transpose(0, 2, 1), dem)  # (T, 2, HIDDEN, B)
+    whT, dzs = np.ascontiguousarray(wh.transpose(0, 2, 1)), np.empty_like(zs)
+    open_s, open_a, open_c = (zs[:, :, : 3 * HIDDEN] > 0) & (zs[:, :, : 3 * HIDDEN] < 1), np.abs(zs[:, :, 3 * HIDDEN :]) < 1, np.abs(cs[1:]) < 1
+    dh, dc = np.zeros((2, HIDDEN, n), kind), np.zeros((2, HIDDEN, n), kind)
+    for t in range(steps - 1, -1, -1):
+        zt, dz, d = zs[t], dzs[t], dhs[t]
+        d += dh
+        dc += d * zt[:, 2 * HIDDEN : 3 * HIDDEN] * open_c[t]
+        np.multiply(dc, zt[:, 3 * HIDDEN :], out=dz[:, :HIDDEN])
+        np.multiply(dc, cs[t], out=dz[:, HIDDEN : 2 * HIDDEN])
+        np.multiply(d, act[t], out=dz[:, 2 * HIDDEN : 3 * HIDDEN])
+        np.multiply(dc, zt[:, :HIDDEN], out=dz[:, 3 * HIDDEN :])
+        s = dz[:, : 3 * HIDDEN]
+        s *= 0.25
+        s *= open_s[t]
+        dz[:, 3 * HIDDEN :] *= open_a[t]
+        dh = np.matmul(whT, dz)
+        dc *= zt[:, HIDDEN : 2 * HIDDEN]
+    dw = np.concatenate([np.matmul(dzs, emb.transpose(0, 1, 3, 2)).sum(0), np.matmul(dzs, hs[:-1].transpose(0, 1, 3, 2)).sum(0), dzs.sum((0, 3))[:, :, None]], 2)
+    demb = np.matmul(wx.transpose(0, 2, 1), dzs)
+    demb = demb[:, 0] + demb[::-1, 1]  # (T, EMBED, B)
+    for i, side in enumerate("fb"):
+        g["lstm_" + side], g["out_" + side] = dw[i], dout[i]
     flat = symbols.ravel()
-    for e in range(EMBED):
-        g["embed"][e] = np.bincount(flat, dembed[:, e].ravel(), SYMBOLS)
+    g["embed"] = np.stack([np.bincount(flat, demb[:, i].ravel(), SYMBOLS) for i in range(EMBED)])
     return loss, g
 
 
@@ -387,19 +414,40 @@ def find(p: dict[str, np.ndarray], texts: list[str], window: int = WINDOW, margi
             whole = int(bounds[i + 1] - bounds[i])
             room = min(s if at else whole, size - e if at + size < whole else whole)
             found.setdefault(i, []).append((-room, at + s, at + e, k))
-    out = []
-    for i in sorted(found):
-        taken: list[tuple[int, int, int]] = []
-        for _, s, e, k in sorted(found[i]):
-            if all(e <= a or s >= b for a, b, _ in taken[-64:]) and all(e <= a or s >= b for a, b, _ in taken[:-64]):
-                taken.append((s, e, k))
-        out += [(i, s, e, k) for s, e, k in sorted(taken)]
-    return out
+    return [(i, s, e, k) for i in sorted(found) for s, e, k in reconciled(found[i])]
+
+
+def reconciled(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, label) in order: of overlapping (-room, start, end, label) the first in order of these stands.
+
+    Spans that stand don't overlap, so each new one is held against its two neighbours among them only.
+    """
+    starts: list[int] = []
+    taken: dict[int, tuple[int, int]] = {}
+    for _, s, e, k in sorted(spans):
+        at = bisect.bisect_left(starts, s)
+        before = at == 0 or taken[starts[at - 1]][0] <= s
+        if before and (at == len(starts) or e <= starts[at]):
+            starts.insert(at, s)
+            taken[s] = (e, k)
+    return [(s, *taken[s]) for s in starts]
+
+
+def trained(spark: SparkSession) -> dict[str, np.ndarray]:
+    """The network, trained once and kept in the shared folder under a hash of this module, so that sessions which share
+    the folder train once. Training takes one core of the driver about half a minute, whatever the corpus."""
+    store = Store(spark, shared_dir(spark))
+    name = f"pii-{hashlib.sha256(inspect.getsource(sys.modules[__name__]).encode()).hexdigest()[:16]}.json"
+    if store.exists("lamina-models", name):
+        return {k: np.array(v, np.float32) for k, v in store.read("lamina-models", name).items()}
+    p = train()
+    store.write({k: v.astype(float).tolist() for k, v in p.items()}, "lamina-models", name)
+    return p
 
 
 def spans(docs: DataFrame, model: dict[str, np.ndarray] | None = None) -> DataFrame:
     """(doc_id, start, end, kind, value) of every span found."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or train())
+    shared = docs.sparkSession.sparkContext.broadcast(model or trained(docs.sparkSession))
 
     def run(batches):
         for b in batches:
