@@ -43,7 +43,7 @@ ROWS = 2
 #: Words whose counts travel to the workers; the others' are joined.
 KNOWN = 1 << 18
 ROUNDS, BATCH, RATE, CLIP = 2, 4096, 0.25, 12.0
-#: Weight of slots without a word, and the least of any weight: no probability leaks to them.
+#: Weight of slots and classes without a word, and the least of any weight: no probability leaks to them.
 NEVER = -30.0
 #: Rows of weights that travel together, and bytes of a slice of text.
 BLOCK, SLICE = 1024, 1 << 20
@@ -75,6 +75,8 @@ class Model:
         self.ww = np.zeros((1 << self.word_bits, SLOTS), np.float32)
         self.wb = np.zeros((CLASSES, SLOTS), np.float32)
         self.wb[:-1][np.arange((CLASSES - 1) * SLOTS).reshape(-1, SLOTS) >= len(vocabulary)] = NEVER
+        self.dead = np.where(np.arange(CLASSES) * SLOTS >= len(vocabulary), NEVER, 0).astype(np.float32)  # classes without a word
+        self.dead[-1] = 0
         self.squares = [np.full(len(x), 1.0, np.float32) for x in (self.cw, self.ww, self.wb)]
 
     def tables(self) -> list[np.ndarray]:
@@ -140,6 +142,7 @@ class Model:
         z = self.cw.take(rows[0], 0)
         for r in rows[1:]:
             z += self.cw.take(r, 0)
+        z += self.dead
         y = self.wb.take(k, 0)
         for r in inner:
             y += self.ww.take(r, 0)
