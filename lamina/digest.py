@@ -51,8 +51,12 @@ class Digest:
 
 
 def lane_sums(sha: Column, prefix: str = "h") -> list[Column]:
-    """Aggregates of a column of hex digests, one per lane; null digests add nothing."""
-    return [F.sum(F.conv(F.substring(sha, 4 * i + 1, 4), 16, 10).cast("long")).alias(f"{prefix}{i}") for i in range(LANES)]
+    """Aggregates of a column of hex digests, one per lane; null digests add nothing. Sixteen digits are read at a time."""
+    out = []
+    for i in range(LANES):
+        word = F.conv(F.substring(sha, 16 * (i // 4) + 1, 16), 16, -10).cast("long")
+        out.append(F.sum(F.shiftrightunsigned(word, 48 - 16 * (i % 4)).bitwiseAND(MOD - 1)).alias(f"{prefix}{i}"))
+    return out
 
 
 def hex_column(prefix: str = "h") -> Column:

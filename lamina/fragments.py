@@ -58,9 +58,10 @@ def number_chunks(df: DataFrame, schema: Schema, chunk_size: int, staging: str)
 
 def _facts(rows: DataFrame, schema: Schema, wanted, old: str | None) -> list:
     """One aggregation by chunk: counts, lanes of inserted and deleted rows, ranges."""
-    new_text = F.when(F.col(LIVE), row_text(schema))
-    aggs = [F.sum(F.col(LIVE).cast("long")).alias("rows_inserted"), *lane_sums(F.col("_sha"), "h"), *range_aggs(schema, wanted, old)]
-    staged = rows.withColumn("_sha", F.sha2(new_text, 256))
+    keyless = len(key_columns(schema)) == len(schema) and not any(c.is_pk for c in schema)
+    staged = rows.withColumn("_text", row_text(schema)).withColumn("_sha", F.sha2(F.when(F.col(LIVE), F.col("_text")), 256))
+    # where all columns are the key, the text that is hashed is the one that ranges are taken of
+    aggs = [F.sum(F.col(LIVE).cast("long")).alias("rows_inserted"), *lane_sums(F.col("_sha"), "h"), *range_aggs(schema, wanted, old, F.col("_text") if keyless else None)]
     if old:
         staged = staged.withColumn("_osha", F.sha2(F.when(F.col(old).isNotNull(), row_text(schema, old)), 256))
         aggs += [F.sum((~F.col(LIVE) | F.col(old).isNotNull()).cast("long")).alias("rows_deleted"), *lane_sums(F.col("_osha"), "d")]

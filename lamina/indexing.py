@@ -29,8 +29,11 @@ def range_columns(schema: Schema, wanted: Sequence[str] | None = None) -> Schema
     return [c for c in schema if is_indexable(c) and (c.is_pk or wanted is None or c.name in wanted)]
 
 
-def range_aggs(schema: Schema, wanted: Sequence[str] | None = None, old: str | None = None) -> list[SparkColumn]:
-    """Aggregates of least and greatest values, by position; old values of changed rows widen the range."""
+def range_aggs(schema: Schema, wanted: Sequence[str] | None = None, old: str | None = None, text: SparkColumn | None = None) -> list[SparkColumn]:
+    """Aggregates of least and greatest values, by position; old values of changed rows widen the range.
+
+    text: of the row, where it is at hand, for tables without key.
+    """
     out = []
     for i, c in enumerate(range_columns(schema, wanted)):
         now = F.col(f"`{c.name}`")
@@ -40,7 +43,7 @@ def range_aggs(schema: Schema, wanted: Sequence[str] | None = None, old: str | N
     if len(pk) > 1:
         out += [F.min(F.struct(*pk)).alias("pk_lo"), F.max(F.struct(*pk)).alias("pk_hi")]
     if not pk:
-        text = row_text(key_columns(schema))
+        text = row_text(key_columns(schema)) if text is None else text
         out += [F.min(text).alias("row_lo"), F.max(text).alias("row_hi")]
     return out
 

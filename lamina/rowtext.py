@@ -16,9 +16,7 @@ def value_text(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.BinaryType):
         return F.concat(F.lit("\\x"), F.lower(F.hex(value)))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        whole = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
-        fraction = F.regexp_replace(F.date_format(value, ".SSSSSS"), "0+$", "")
-        return F.concat(whole, F.when(fraction == ".", "").otherwise(fraction))
+        return value.cast("string")  # seconds, and what there is of fractions
     if isinstance(kind, T.DecimalType) and kind == T.DecimalType(38, 18):  # a bare numeric keeps no trailing zeros
         text = value.cast("string")
         return F.regexp_replace(text, r"\.?0+$", "") if kind.scale else text

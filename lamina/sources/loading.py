@@ -92,7 +92,7 @@ def state_table(repo: Repository, old: TableVersion | None, state: dict) -> Tabl
     return TableVersion(schema, [*(old.objects if old else []), *write_base(repo.catalog, row, schema, None)])
 
 
-def blind_upsert(repo: Repository, table: str, rows: DataFrame, deleted: DataFrame | None = None, comment: str | None = None) -> str:
+def blind_upsert(repo: Repository, table: str, rows: DataFrame, deleted: DataFrame | None = None, comment: str | None = None, image_hash: str | None = None) -> str:
     """A patch that only knows keys: no old values, so readers rely on the overlap of key ranges. Returns the image's hash."""
     base = repo.images.by_tag("latest")
     version = base.tables[table]
@@ -104,7 +104,7 @@ def blind_upsert(repo: Repository, table: str, rows: DataFrame, deleted: DataFra
     if deleted is not None:
         net = net.unionByName(deleted.select(*[F.col(f"`{k}`").cast(kind[k].dataType).alias(k) for k in keys], F.lit(False).alias("upserted"), none.alias("old"), none.alias("new")))
     new = write_patch(repo.catalog, net, schema)
-    made = repo.images.add(base.hash, None, {**base.tables, table: TableVersion(schema, [*version.objects, *new])}, comment or f"Upsert into {table}")
+    made = repo.images.add(base.hash, image_hash, {**base.tables, table: TableVersion(schema, [*version.objects, *new])}, comment or f"Upsert into {table}")
     repo.images.tag(made.hash, "HEAD")
     return made.hash
 

@@ -13,23 +13,31 @@ from lamina.sources.loading import blind_upsert
 from lamina.sources.messages import append_dedup
 
 
-def commit_batches(repo: Repository, table: str, pk: Sequence[str], cursor: Sequence[str] | None = None):
-    """Function for ``writeStream.foreachBatch``: upserts the batch by key. The image's comment names its batch."""
+def commit_batches(repo: Repository, table: str, pk: Sequence[str], cursor: Sequence[str] | None = None, stream: str = ""):
+    """Function for ``writeStream.foreachBatch``: upserts the batch by key.
+
+    The image's hash is that of the stream's name, the table and the batch, so a batch that is delivered again finds its
+    image. Of rows with one key in a batch the last by cursor holds, or, without one, the greatest by its text.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        mark = f"batch {layer_hash(table)[:8]}:{batch_id}"
-        if repo.images.exists() and any(i.comment == mark for i in repo.images):
+        mark = layer_hash("batch", repo.name, stream, table, str(batch_id))
+        if repo.images.exists() and repo.images.has(mark):
             return
-        rows = append_dedup(batch, pk, cursor) if cursor else batch.dropDuplicates(list(pk))
+        if cursor:
+            rows = append_dedup(batch, pk, cursor)
+        else:
+            text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in batch.columns]))
+            rows = append_dedup(batch.withColumn("_text", text), pk, ["_text"]).drop("_text")
         if not repo.images.exists():
             repo.init()
         latest = repo.images.by_tag("latest")
         if table not in latest.tables:
             work = repo.checkout(latest.hash, force=True)
             work.create(table, rows, pk)
-            repo.commit(comment=mark)
+            repo.commit(mark, comment=f"batch {batch_id}")
         else:
-            blind_upsert(repo, table, rows, comment=mark)
+            blind_upsert(repo, table, rows, comment=f"batch {batch_id}", image_hash=mark)
 
     return write
 
