@@ -1,12 +1,18 @@
 """The pipeline's stages on awkward documents, and its windows against brute force over the stages before."""
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lamina.llm import packing
+from lamina.llm import mixing, packing, simhash
 
 from .conftest import hard_rows
 from .test_quality_lines_packing import brute_lines, brute_pack
+from .test_simhash import brute, components
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -49,3 +55,41 @@ def test_run_equals_the_stages(spark, tmp_path):
     want = sorted((r.window_id, r.n_tokens, r.doc_ids, r.starts, r.text) for r in windows.collect())
     assert want == sorted((r.window_id, r.n_tokens, r.doc_ids, r.starts, r.text) for r in corpus_pipeline.run(spark, TABLES).collect())
     assert want == brute_pack([(r.doc_id, r.text) for r in mixed.collect()], packing.WINDOW)
+
+
+def test_near_dedup_stage_against_brute_force(spark):
+    """Every group of brute force leaves one document at least, and almost none leaves more."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    fp, some = simhash.fingerprints(pa.array([t for _, t in rows]))
+    at = np.flatnonzero(some)
+    pairs = brute(np.ascontiguousarray(fp[at]), simhash.RADIUS)
+    root = components(len(at), pairs)
+    least: dict = {}
+    for i, r in zip(at, root):
+        least[r] = min(least.get(r, 1 << 62), rows[i][0])
+    want = set(least.values()) | {rows[i][0] for i in np.flatnonzero(~some)}
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, TABLES).select("doc_id").collect()}
+    assert want <= got and len(want) < len(rows) and len(got - want) <= 0.02 * (len(rows) - len(want))
+
+
+def test_mixing_stage_against_brute_force(spark):
+    """Copies by rates that plain numpy solves, and the draw by hash."""
+    docs, labels = (spark.read.parquet(f"{TABLES}/{t}.parquet") for t in ("documents", "labels"))
+    weights, bias, known = mixing.classifier(docs, labels)
+    members = mixing.memberships(docs, weights, bias).collect()
+    p, n = np.array([[r.p0, r.p1, r.p2] for r in members]), np.array([r.n for r in members], float)
+    want = np.where(known, mixing.TARGETS, 0) / np.where(known, mixing.TARGETS, 0).sum()
+    have = n @ p / n.sum()
+    goal = np.minimum(want * have[want.argmax()] / want.max(), mixing.REPEATS * have)
+    inverse, rate = np.linalg.pinv((p * n[:, None]).T @ p / n.sum(), rcond=1e-9), np.ones(len(n))
+    for _ in range(mixing.ITERATIONS):
+        off = (rate * n) @ p / n.sum() - goal
+        if np.abs(off).max() < 1e-6 * have[want.argmax()] / want.max():
+            break
+        rate = np.maximum(0, rate - p @ (inverse @ off))
+    rate = np.where(n > 0, rate, 1)
+    draws = {r.doc_id: r.d for r in docs.select("doc_id", ((F.pmod(F.xxhash64(F.lit(11), F.xxhash64("doc_id", "text")), F.lit(1 << 30)) + 0.5) / float(1 << 30)).alias("d")).collect()}
+    sure = {r.doc_id: int(x) + (draws[r.doc_id] < x - int(x)) for r, x in zip(members, rate) if abs(draws[r.doc_id] - (x - int(x))) > 1e-6}
+    got = Counter(r.doc_id for r in corpus_pipeline.mix(spark, docs, TABLES).select("doc_id").collect())
+    assert len(sure) > 0.95 * len(members) and all(got.get(i, 0) == c for i, c in sure.items())
