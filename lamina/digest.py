@@ -50,13 +50,15 @@ class Digest:
         return "".join(f"{x:04x}" for x in self.lanes)
 
 
-def lane_sums(sha: Column, prefix: str = "h") -> list[Column]:
-    """Aggregates of a column of hex digests, one per lane; null digests add nothing. Sixteen digits are read at a time."""
-    out = []
-    for i in range(LANES):
-        word = F.conv(F.substring(sha, 16 * (i // 4) + 1, 16), 16, -10).cast("long")
-        out.append(F.sum(F.shiftrightunsigned(word, 48 - 16 * (i % 4)).bitwiseAND(MOD - 1)).alias(f"{prefix}{i}"))
-    return out
+def words(sha: Column) -> list[Column]:
+    """A hex digest as four integers of 64 bits."""
+    return [F.conv(F.substring(sha, 16 * i + 1, 16), 16, -10).cast("long") for i in range(LANES // 4)]
+
+
+def lane_sums(sha: Column | list[Column], prefix: str = "h") -> list[Column]:
+    """Aggregates of a column of hex digests, or of its words, one per lane; null digests add nothing."""
+    four = sha if isinstance(sha, list) else words(sha)
+    return [F.sum(F.shiftrightunsigned(four[i // 4], 48 - 16 * (i % 4)).bitwiseAND(MOD - 1)).alias(f"{prefix}{i}") for i in range(LANES)]
 
 
 def hex_column(prefix: str = "h") -> Column:

@@ -14,15 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.catalog import Catalog, ObjectMeta, now
-from lamina.digest import Digest, lane_sums, object_id
+from lamina.digest import Digest, lane_sums, object_id, words
 from lamina.indexing import build_blooms, chunk_groups, key_range, range_aggs, range_index
 from lamina.rowtext import row_text
-from lamina.runtime import small
+from lamina.runtime import input_bytes, small
 from lamina.types import Schema, SchemaError, key_columns, schema_hash, spark_type, struct_of
 
 #: Rows of a base fragment, and the column that tells upserts (true) from deletions.
 CHUNK = 250_000
 LIVE = "_live"
+#: Bytes of a source from which a base of one chunk is spread over all cores before it is hashed.
+SPREAD = 8 << 20
 _CHUNK, _POS = "_lamina_chunk", "_lamina_pos"
 
 
@@ -60,11 +62,18 @@ def _facts(rows: DataFrame, schema: Schema, wanted, old: str | None) -> list:
     """One aggregation by chunk: counts, lanes of inserted and deleted rows, ranges."""
     keyless = len(key_columns(schema)) == len(schema) and not any(c.is_pk for c in schema)
     staged = rows.withColumn("_text", row_text(schema)).withColumn("_sha", F.sha2(F.when(F.col(LIVE), F.col("_text")), 256))
-    # where all columns are the key, the text that is hashed is the one that ranges are taken of
-    aggs = [F.sum(F.col(LIVE).cast("long")).alias("rows_inserted"), *lane_sums(F.col("_sha"), "h"), *range_aggs(schema, wanted, old, F.col("_text") if keyless else None)]
     if old:
         staged = staged.withColumn("_osha", F.sha2(F.when(F.col(old).isNotNull(), row_text(schema, old)), 256))
-        aggs += [F.sum((~F.col(LIVE) | F.col(old).isNotNull()).cast("long")).alias("rows_deleted"), *lane_sums(F.col("_osha"), "d")]
+    for name in ["_sha", "_osha"] if old else ["_sha"]:
+        staged = staged.select("*", *[w.alias(f"{name}{i}") for i, w in enumerate(words(F.col(name)))])
+    four = lambda name: [F.col(f"{name}{i}") for i in range(4)]
+    # where all columns are the key, the text that is hashed is the one that ranges are taken of
+    aggs = [F.sum(F.col(LIVE).cast("long")).alias("rows_inserted"), *lane_sums(four("_sha"), "h"), *range_aggs(schema, wanted, old, F.col("_text") if keyless else None)]
+    if old:
+        aggs += [F.sum((~F.col(LIVE) | F.col(old).isNotNull()).cast("long")).alias("rows_deleted"), *lane_sums(four("_osha"), "d")]
+    # least and greatest strings don't fit the buffers of a hash aggregation; beside an aggregate that keeps objects they do,
+    # and rows aren't sorted for them
+    aggs.append(F.collect_set(F.lit(None).cast("int")).alias("_objects"))
     return staged.groupBy(_CHUNK).agg(*aggs).orderBy(_CHUNK).collect()
 
 
@@ -132,6 +141,9 @@ def write_base(catalog: Catalog, df: DataFrame, schema: Schema, chunk_size: int
     if chunk_size:
         rows = number_chunks(data, schema, chunk_size, staging)
     else:
+        wide = data.sparkSession.sparkContext.defaultParallelism
+        if input_bytes(data) > SPREAD and data.rdd.getNumPartitions() < wide:
+            data = data.repartition(wide)  # what few tasks read is hashed by all
         data.write.parquet(staging)
         rows = data.sparkSession.read.parquet(staging).withColumn(_CHUNK, F.lit(0).cast("long"))
     ids = _store(catalog, rows.withColumn(LIVE, F.lit(True)), schema, indexes, None, sort)
@@ -216,14 +228,16 @@ def reindex(catalog: Catalog, objects: list[str], schema: Schema, indexes: dict,
     return [m.id for m in done]
 
 
-def read_objects(catalog: Catalog, ids: list[str], schema: Schema) -> DataFrame:
-    """All rows of objects, deletions too, with ``_id`` of their object: one scan whatever their number."""
+def read_objects(catalog: Catalog, ids: list[str], schema: Schema, with_id: bool = True) -> DataFrame:
+    """All rows of objects, deletions too, with ``_id`` of their object if asked for: one scan whatever their number."""
     struct = T.StructType([T.StructField(LIVE, T.BooleanType()), *struct_of(schema).fields])
     if not ids:
         return catalog.spark.createDataFrame([], struct).withColumn("_id", F.lit(""))
     metas = catalog.objects(dict.fromkeys(ids))
     folders = [catalog.location(m) for m in metas]
     scan = catalog.spark.read.schema(struct).parquet(*folders)
+    if not with_id:
+        return scan
     if len(metas) == 1:
         return scan.withColumn("_id", F.lit(metas[0].id))
     last = [f.rsplit("/", 2)[-2] + "/" + f.rsplit("/", 1)[-1] for f in folders]  # tells folders apart, whatever stands before

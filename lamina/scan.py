@@ -94,7 +94,7 @@ class TableScan:
         parts = []
         if plan.singletons:
             # conditions reach the Parquet scan here: nothing can hide a row of these objects
-            rows = read_objects(self.catalog, [m.id for m in plan.singletons], self.schema).where(LIVE)
+            rows = read_objects(self.catalog, [m.id for m in plan.singletons], self.schema, with_id=False).where(LIVE)
             parts.append(rows.where(where) if where is not None else rows)
         if plan.merged:
             rows = self._merge(plan.merged)
@@ -132,7 +132,7 @@ class TableScan:
                 joined = reached[at:end]
                 reached[at:end] = [(min([lo, *[x[0] for x in joined]]), max([hi, *[x[1] for x in joined]]))]
         keys = [F.col(f"`{c.name}`") for c in key_columns(self.schema)]
-        base = read_objects(self.catalog, [m.id for m in ground], self.schema).where(LIVE)
+        base = read_objects(self.catalog, [m.id for m in ground], self.schema, with_id=False).where(LIVE)
         if not over:
             return base
         number = self.catalog.spark.createDataFrame([(m.id, order[m.id]) for m in over], "_id string, _ord int")
