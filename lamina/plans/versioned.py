@@ -219,9 +219,13 @@ def content_hashes(spark, sf_dir):
     return found.select(hex_column().alias("hash"), "n")
 
 
-@query("SELECT count(*) = (SELECT count(DISTINCT o_orderkey) FROM orders) AS equal, min(o_totalprice) IS NOT NULL AS patched FROM orders")
+_ORDER_TEXT = f"""'(' || o_orderkey || ',' || coalesce(CAST(o_custkey AS VARCHAR), '') || ',' || coalesce({_quoted("o_orderstatus")}, '') || ',' || coalesce(CAST(o_totalprice AS VARCHAR), '') || ',' || coalesce('"' || CAST(CAST(o_orderdate AS TIMESTAMP) AS VARCHAR) || '"', '') || ',' || coalesce({_quoted("o_orderpriority")}, '') || ')'"""
+_ORDER_HASH = f"SELECT '{{}}' AS tag, {_LANES} AS hash, count(*) AS n FROM (SELECT sha256({_ORDER_TEXT}) AS h FROM {{}} o) t"
+
+
+@query(_ORDER_HASH.format("v1", "orders") + " UNION ALL " + _ORDER_HASH.format("v2", V2))
 def hash_additivity(spark, sf_dir):
-    """Hashes of the objects sum up to the table's, before and after the patch."""
+    """Hashes of the objects sum up to the table's, before and after the patch: they are added up from the manifests alone."""
     from lamina.digest import Digest
 
     repo, out = repository(spark, sf_dir), []
@@ -229,8 +233,8 @@ def hash_additivity(spark, sf_dir):
         t, total = repo.table(tag, "orders"), Digest.zero()
         for m in repo.catalog.objects(t.version.objects):
             total = total + Digest.from_hex(m.insertion_hash) - Digest.from_hex(m.deletion_hash)
-        out.append(total == content_hash(t.read(), t.schema))
-    return spark.createDataFrame([tuple(out)], "equal boolean, patched boolean")
+        out.append((tag, total.hex(), t.count()))
+    return spark.createDataFrame(out, "tag string, hash string, n long")
 
 
 @query("SELECT count(*) AS kept FROM (SELECT DISTINCT c_mktsegment FROM customer) t")
