@@ -98,7 +98,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
             return "\n".join(("+ " if r["added"] else "- ") + json.dumps({k: v for k, v in r.asDict().items() if k != "added"}, default=str) for r in (found.limit(args.limit) if args.limit else found).toLocalIterator())
         return "added {}, removed {}, updated {}".format(*found)
     if c == "sql":
-        return "\n".join(repo.sql(args.query, args.image).limit(args.limit).toJSON().collect())
+        rows = repo.sql(args.query, args.image).limit(args.limit + 1).toJSON().collect()
+        return "\n".join(rows[: args.limit] + ([f"(more than {args.limit} rows, see --limit)"] if len(rows) > args.limit else []))
     if c == "rm":
         gone = repo.images.descendants(repo.images[args.image].hash)
         repo.images.delete(gone)

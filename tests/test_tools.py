@@ -20,6 +20,8 @@ def test_command_line(spark, root, tmp_path):
     assert do("list") == "demo/r" and first in do("log", "demo/r") and "v1" in do("log", "demo/r", "--tree")
     assert "1 objects" in do("show", "demo/r", "v1") and "k (integer, key)" in do("table", "demo/r", "v1", "t")
     assert do("sql", "demo/r", "SELECT v FROM t WHERE k = 2") == '{"v":"b"}'
+    assert do("sql", "demo/r", "SELECT k FROM t ORDER BY k", "--limit", "1") == '{"k":1}\n(more than 1 rows, see --limit)'
+    assert do("sql", "demo/r", "SELECT k FROM t ORDER BY k", "--limit", "2") == '{"k":1}\n{"k":2}'
     repo = Repository(Catalog(spark, root), "demo/r")
     repo.checkout("v1")
     repo.work.delete("t", "k = 1")
