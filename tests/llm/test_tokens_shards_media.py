@@ -170,3 +170,78 @@ def test_media_faults_stay_with_their_member(spark, tmp_path):
 def test_media_of_nothing(spark, empty, tmp_path):
     assert media.write_archives(empty, f"file://{tmp_path}/none", "text", ["doc_id"]) == 0
     assert media.read_members(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def stored(path, n=300):
+    """An archive of members whose records have comments, so that its directory spans many ranges."""
+    with zipfile.ZipFile(path, "w") as z:
+        for i in range(n):
+            info = zipfile.ZipInfo(f"member {i}")
+            info.comment = b"c" * 80
+            z.writestr(info, f"payload {i}")
+    return path.read_bytes()
+
+
+def rows_of(path, **options):
+    reader = media.MemberReader({"path": f"file://{path}", **options})
+    return [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("size", [1500, 7000, 1 << 25])
+def test_media_damaged_directory_tells_what_it_lost(tmp_path, size):
+    """Whichever record is damaged, in whichever range: every other member comes once, and a row has the error."""
+    data = stored(tmp_path / "a.zip")
+    marks = [i for i in range(len(data)) if data[i : i + 4] == media.RECORD]
+    assert len(marks) == 300
+    for hurt in ({0}, {5}, {299}, {150, 151}, {17, 19, 21, 23, 25}, set(range(40, 110))):
+        bad = bytearray(data)
+        for k in hurt:
+            bad[marks[k] : marks[k] + 4] = b"XXXX"
+        (tmp_path / "a.zip").write_bytes(bytes(bad))
+        got = rows_of(tmp_path, rangeBytes=size, attempts=1)
+        assert sorted(r["member"] for r in got if not r["error"]) == sorted(f"member {i}" for i in range(300) if i not in hurt), hurt
+        assert any(r["error"] and r["member"] is None for r in got), hurt
+
+
+def test_media_range_that_cannot_be_read_is_an_error(tmp_path, monkeypatch):
+    stored(tmp_path / "a.zip")
+    whole = media.members_of
+
+    def failing(f, size, share, shares):
+        if share == 3:
+            raise OSError("gone")
+        return whole(f, size, share, shares)
+
+    monkeypatch.setattr(media, "members_of", failing)
+    got = rows_of(tmp_path, rangeBytes=7000, attempts=2)
+    assert [(r["member"], r["error"]) for r in got if r["error"]] == [(None, "OSError: gone")] and 200 < len(got) < 300
+
+
+def test_media_ends_and_names_that_are_not_the_archives(tmp_path):
+    inner = stored(tmp_path / "a.zip", 5)
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("first", "x")
+        z.writestr("nested", inner)
+    data = (tmp_path / "a.zip").read_bytes()
+    (tmp_path / "a.zip").write_bytes(data[:-120])  # cut: the last directory's end is the nested archive's
+    assert any(r["error"] for r in rows_of(tmp_path, attempts=1))
+    (tmp_path / "a.zip").write_bytes(data + b"more")
+    got = rows_of(tmp_path, attempts=1)
+    assert [r["member"] for r in got if not r["error"]] == ["first", "nested"] and sum(bool(r["error"]) for r in got) == 1
+    (tmp_path / "a.zip").write_bytes(b"noise" * 5000)
+    assert [(r["member"], r["error"]) for r in rows_of(tmp_path, rangeBytes=1000, attempts=1)] == [(None, "ValueError: no end of directory")]
+    at = data.rfind(b"first")
+    (tmp_path / "a.zip").write_bytes(data[:at] + b"fIrst" + data[at + 5 :])
+    assert {r["member"]: r["error"] for r in rows_of(tmp_path, attempts=1)} == {"fIrst": "ValueError: another name in the member's header", "nested": None}
+
+
+def test_media_missing_folder_and_foreign_names_are_errors(spark, tmp_path):
+    with pytest.raises(Exception, match="nowhere"):
+        media.read_members(spark, f"file://{tmp_path}/nowhere").count()
+    names = ["readme.txt", '000000001 [false, "x"]', '000000002 [false]', '000000003 [false, "7"]', "000000004 [true, null]"]
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for name in names:
+            z.writestr(name, "p")
+    got = media.media_table(spark, f"file://{tmp_path}", "k bigint").collect()
+    assert sorted(((x.k, x.payload and bytes(x.payload)) for x in got if not x.error), key=repr) == [(7, b"p"), (None, None)]
+    assert sum(x.error is not None and x.error.startswith("the name is no row: ") for x in got) == 3
