@@ -166,3 +166,48 @@ def test_hard_rows(hard, empty):
     got = sorted((x.doc_id, x.group_id, x.n_links) for x in simhash.groups(hard).collect())
     assert got == [(5, 5, 2), (5, 5, 2), (6, 5, 2)]
     assert simhash.drop_copies(empty).count() == 0 and simhash.groups(empty).count() == 0
+
+
+def test_no_pair_at_the_radius_is_missed(spark):
+    """Fingerprints at exactly RADIUS bits: the search in cells loses some of them, the exact one none, in slices or not."""
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2**64, (1500, 4), dtype=np.uint64)
+    fp = np.concatenate([base, at_distance(r, base[:1000], simhash.RADIUS), at_distance(r, base[1000:], simhash.RADIUS + 1)])
+    want = components(len(fp), brute(fp, simhash.RADIUS))
+    assert sum(want[i] == want[1500 + i] for i in range(1500)) == 1000
+    for limit in (1 << 17, 350):
+        assert roots(spark, fp, cell=200, limit=limit) == want
+    few = roots(spark, fp, cell=200, exact=False)
+    assert 930 <= sum(few[i] == few[1500 + i] for i in range(1000)) < 1000 and few[2500:] == want[2500:]
+
+
+def test_every_pair_of_any_number_of_points():
+    r = np.random.default_rng(6)
+    for n in (0, 1, 2, 7, 16, 17, 130, 4100):
+        for radius in (0, 20, 46, 130, 256):
+            if n == 4100 and radius != 46:
+                continue
+            base = r.integers(0, 2**64, (max(1, n // 3), 4), dtype=np.uint64)
+            fp = np.concatenate([base, at_distance(r, base, min(radius, 46)), r.integers(0, 2**64, (n, 4), dtype=np.uint64)])[:n]
+            want, f = components(n, brute(fp, radius)), simhash.Family(fp, radius)
+            f.every(np.arange(n), np.arange(n))
+            g, a, b = simhash.Family(fp, radius), np.arange(0, n, 2), np.arange(1, n, 2)
+            g.every(a, a), g.every(b, b), g.every(a, b)
+            assert list(f.root) == want == list(g.root), (n, radius)
+            h = simhash.Family(fp, radius)
+            whole = np.arange(n)
+            h.every(whole, whole)
+            assert list(h.root) == want, (n, radius)
+
+
+def test_groups_of_texts_equal_brute_force(spark):
+    """Every document's class, as all pairs give it, however many slices the points are cut into."""
+    r, texts = random.Random(12), []
+    for _ in range(250):
+        texts += family(r, r.choice([30, 40, 80, 200]), r.choice([1, 3, 5, 6, 8, 10]))
+    fp, _ = simhash.fingerprints(pa.array(texts))
+    want = components(len(fp), brute(fp, simhash.RADIUS))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for options in ({}, {"limit": 60}):
+        got = {x.doc_id: (x.group_id, x.n_links) for x in simhash.groups(docs, **options).collect()}
+        assert got == {i: (w, want.count(w) - 1) for i, w in enumerate(want) if want.count(w) > 1}
