@@ -1,5 +1,6 @@
 """The pipeline's stages on awkward documents, and its windows against brute force over the stages before."""
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lamina.llm import mixing, packing, simhash
 
-from .conftest import hard_rows
+from .conftest import hard_rows, prose
 from .test_quality_lines_packing import brute_lines, brute_pack
 from .test_simhash import brute, components
 
@@ -93,3 +94,24 @@ def test_mixing_stage_against_brute_force(spark):
     sure = {r.doc_id: int(x) + (draws[r.doc_id] < x - int(x)) for r, x in zip(members, rate) if abs(draws[r.doc_id] - (x - int(x))) > 1e-6}
     got = Counter(r.doc_id for r in corpus_pipeline.mix(spark, docs, TABLES).select("doc_id").collect())
     assert len(sure) > 0.95 * len(members) and all(got.get(i, 0) == c for i, c in sure.items())
+
+
+def test_near_dedup_stage_misses_no_pair_at_the_edge(spark, tmp_path):
+    """Copies edited up to and beyond the radius, after line dedup: of each group of brute force exactly the first stays."""
+    r, rows = random.Random(21), []
+    for i in range(2500):
+        words = prose(r, 60).split()
+        rows.append((2 * i, " ".join(words)))
+        for at in r.sample(range(len(words)), r.randrange(5, 9)):
+            words[at] = f"edit{r.randrange(10**6)}"
+        rows.append((2 * i + 1, " ".join(words)))
+    docs = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), TABLES)
+    docs.write.parquet(f"file://{tmp_path}/lines")
+    docs = spark.read.parquet(f"file://{tmp_path}/lines")
+    left = sorted((x.doc_id, x.text) for x in docs.collect())
+    fp, some = simhash.fingerprints(pa.array([t for _, t in left]))
+    pairs = brute(np.ascontiguousarray(fp), simhash.RADIUS)
+    x = fp.view(np.uint64)
+    assert some.all() and sum(int(np.bitwise_count(x[i] ^ x[j]).sum()) > simhash.RADIUS - 6 for i, j in pairs) > 200
+    want = [left[i][0] for i in sorted(set(components(len(left), pairs)))]
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, TABLES).collect()) == want
