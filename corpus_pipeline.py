@@ -22,7 +22,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_copies(docs)
+    # line dedup took the lines that near copies share: they are told by their texts in the table too
+    return simhash.drop_copies(docs, table(spark, sf_dir, "documents"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -115,3 +115,45 @@ def test_near_dedup_stage_misses_no_pair_at_the_edge(spark, tmp_path):
     assert some.all() and sum(int(np.bitwise_count(x[i] ^ x[j]).sum()) > simhash.RADIUS - 6 for i, j in pairs) > 200
     want = [left[i][0] for i in sorted(set(components(len(left), pairs)))]
     assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, TABLES).collect()) == want
+
+
+def test_near_dedup_stage_knows_copies_whose_shared_lines_are_gone(spark, tmp_path):
+    """Line dedup takes the lines that copies share; still exactly the first of each group stays, by pairs within the
+    radius of what is left or of the texts in the table: null and repeated ids, blank lines, rests without words."""
+    r, rows = random.Random(22), []
+    for i in range(300):
+        lines = [prose(r, 8) for _ in range(9)]
+        rows.append((2 * i, "\n".join([*lines[:4], "", *lines[4:]])))
+        for at in r.sample(range(9), r.randrange(1, 7)):
+            words = lines[at].split()
+            words[r.randrange(8)] = f"edit{r.randrange(10**6)}"
+            lines[at] = " ".join(words)
+        rows.append((2 * i + 1, "\n".join(lines)))
+    other = [prose(r, 8) for _ in range(9)]
+    rows += [(3, "\n".join(other)), (3, "\n".join(other)), (700, "\n".join([*other, "-- ! --"])), (701, "\n".join([*other[:8], other[8] + " more"]))]
+    rows += [(None, rows[0][1] + "\nthe last"), (None, "\n".join(prose(r, 8) for _ in range(9)))]
+    home = f"file://{tmp_path}"
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{home}/documents.parquet")
+    corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{home}/documents.parquet"), home).write.parquet(f"{home}/lines")
+    docs = spark.read.parquet(f"{home}/lines")
+    left = [(x.doc_id, x.text) for x in docs.withColumn("th", F.xxhash64("text")).orderBy("doc_id", "th").collect()]
+    was = [next(t for j, t in rows if j == i and set(text.split("\n")) <= set(t.split("\n"))) for i, text in left]
+    pairs = []
+    for texts in ([t for _, t in left], was):
+        fp, some = simhash.fingerprints(pa.array(texts))
+        at = np.flatnonzero(some)
+        pairs.append({(at[i], at[j]) for i, j in brute(np.ascontiguousarray(fp[at]), simhash.RADIUS)})
+    assert len(pairs[1] - pairs[0]) > 100 and (700, "-- ! --") in left and len({i for i, _ in left}) < len(left)
+    want = [left[i] for i in sorted(set(components(len(left), pairs[0] | pairs[1])))]
+    got = corpus_pipeline.near_dedup(spark, docs, home)
+    assert got.columns == docs.columns
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_near_dedup_stage_takes_no_other_row_for_the_earlier_text(spark, tmp_path):
+    """Rows of the table with a document's id but not its lines, or with other blank lines, say nothing of it."""
+    r = random.Random(23)
+    texts, copy = ["\n".join(prose(r, 8) for _ in range(6)) for _ in range(4)], "\n".join(prose(r, 8) for _ in range(40))
+    spark.createDataFrame([(0, copy), (1, copy), (2, copy + "\n\n" + texts[2]), (3, copy + "\n" + texts[3])], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, f"file://{tmp_path}").collect()) == [0, 1, 2, 3]
