@@ -164,3 +164,22 @@ def test_dumps_without_contents(repo, tmp_path):
     assert body["contents"] is None and len(body["objects"]) == 4
     other = Repository(repo.catalog, "t/y")
     assert len(other.load_dump(path)) == 2 and other.table("latest", "t").read().count() == 40
+
+
+def test_portal_of_a_query_filters_its_rows_once():
+    from lamina.plans.repositories import portal_of
+
+    class Counted(list):
+        passes = 0
+
+        def __iter__(self):
+            Counted.passes += 1
+            return super().__iter__()
+
+    rows = Counted({"s_suppkey": i, "s_name": f"s{i}", "s_acctbal": i - 5.5} for i in range(40))
+    portal, asked = portal_of(rows)
+    given = {"$select": "`key`", "$where": "(`s_acctbal` > 0)", "$limit": "7"}
+    assert json.loads(portal("/", given | {"$select": "count(*) AS n"}, None)) == [{"n": "34"}]
+    pages = [json.loads(portal("/", given | {"$offset": str(at)}, None)) for at in range(0, 34, 7)]
+    assert [int(r["key"]) for p in pages for r in p] == list(range(6, 40)) and asked == {"(`s_acctbal` > 0)"}
+    assert Counted.passes == 1
