@@ -39,6 +39,9 @@ def row_text(schema: Schema, within: str | None = None) -> Column:
         col = F.col(f"`{within}`")[c.name] if within else F.col(f"`{c.name}`")
         kind = spark_type(c.type)
         text = value_text(col, kind)
-        plain = isinstance(kind, T.NumericType)
-        parts.append(F.coalesce(text if plain else text if isinstance(kind, T.BooleanType) else quoted(text), F.lit("")))
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            text = F.concat(F.lit('"'), text, F.lit('"'))  # the space in it asks for quotes, and nothing in it for more
+        elif not isinstance(kind, (T.NumericType, T.BooleanType, T.DateType)):  # these hold nothing that is quoted
+            text = quoted(text)
+        parts.append(F.coalesce(text, F.lit("")))
     return F.concat(F.lit("("), F.concat_ws(",", *parts), F.lit(")"))

@@ -301,3 +301,14 @@ def test_random_histories_match_a_dict(spark, root):
     t = repo.table("latest", "t")
     assert rows(t.read()) == sorted(truth.items()) and t.count() == len(truth)
     assert rows(t.read(quals=[[("v", ">", 50)]])) == sorted((k, v) for k, v in truth.items() if v > 50)
+
+
+def test_row_text_of_times_needs_no_regular_expression(spark):
+    from lamina.rowtext import row_text
+    from lamina.types import schema_of
+
+    df = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-02 03:04:05.6' AS t, DATE '2024-01-02' AS d, CAST(NULL AS TIMESTAMP_NTZ) AS n, CAST(NULL AS DATE) AS m FROM range(1)")
+    text = df.select(row_text(schema_of(df.schema)).alias("x"))
+    assert text.first()["x"] == '("2024-01-02 03:04:05.6",2024-01-02,,)'
+    times = spark.createDataFrame([], df.schema).select(row_text(schema_of(df.schema)))
+    assert "RLIKE" not in times._jdf.queryExecution().analyzed().toString().upper()
